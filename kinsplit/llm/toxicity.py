@@ -13,6 +13,7 @@ softmax rows), so a model is ``BUCKETS`` floats whatever the corpus.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from uuid import uuid4
 from zlib import crc32
@@ -26,7 +27,7 @@ from kinsplit.llm.util import fold, labelled_sample
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 1
 NGRAMS = (3, 4, 5)
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 WARM_UP, EPOCHS = 4, 40
 THRESHOLD = 0.7
 CACHE_WORDS = 1_000_000
@@ -120,20 +121,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 0) -> Model:
     """Fit embeddings and softmax on labelled texts; calibrate on every fifth of them, held back."""
-    sample = [(own, y) for text, y in sample if (own := words(text))]
-    if len({y for _, y in sample}) < 2:
-        prior = (1 + sum(y for _, y in sample)) / (2 + len(sample))
-        return Model(np.zeros(BUCKETS), np.array([np.log(prior / (1 - prior)), 0.0, 0.0]))
     vocabulary: dict[str, int] = {}
-    flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for own, _ in sample for w in own])
-    sizes = np.array([len(own) for own, _ in sample])
+    flat, sizes, labels, grams, count = array("i"), [], [], array("i"), []
+    for text, label in sample:
+        own = words(text)
+        if own:
+            for w in own:
+                k = vocabulary.setdefault(w, len(vocabulary))
+                flat.append(k)
+                if k == len(count):
+                    ids = subwords(w)
+                    grams.extend(ids)
+                    count.append(len(ids))
+            sizes.append(len(own))
+            labels.append(label)
+    del vocabulary
+    if len(set(labels)) < 2:
+        prior = (1 + sum(labels)) / (2 + len(labels))
+        return Model(np.zeros(BUCKETS, np.float32), np.array([np.log(prior / (1 - prior)), 0.0, 0.0]))
+    flat, grams = np.frombuffer(flat, np.int32), np.frombuffer(grams, np.int32)
+    sizes, y, count = np.array(sizes), np.array(labels, float), np.array(count)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    y = np.array([y for _, y in sample], float)
-    bags = [subwords(w) for w in vocabulary]
-    count = np.array([len(b) for b in bags])
-    grams = np.concatenate([np.array(b, np.int64) for b in bags])
+    n_words = len(count)
     bag_start = np.concatenate(([0], np.cumsum(count)))
-    owner = np.repeat(np.arange(len(bags)), count)
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), count)
 
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
@@ -146,11 +157,13 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 0) ->
     weight = np.where(y == 1, 0.5 / positive, 0.5 / (1 - positive)) * fit
 
     def word_scores() -> np.ndarray:
-        s = np.bincount(owner, (emb @ (soft[1] - soft[0]))[grams], len(bags))
+        s = np.bincount(owner, (emb @ (soft[1] - soft[0]))[grams], n_words)
         return s / np.maximum(count, 1)
 
     def bag_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``some`` and bucket ids of the n-grams of these words."""
+        if len(some) == n_words:
+            return owner, grams
         k = count[some]
         return np.repeat(np.arange(len(some)), k), grams[np.repeat(bag_start[some], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
 
