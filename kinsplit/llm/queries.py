@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinsplit.llm import quality, toxicity
+from kinsplit.llm import flac, language_id, quality, toxicity
 from kinsplit.llm.util import table
 
 
@@ -18,9 +18,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.op7(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_media_flac": op7_media_flac,
+    "op9_language_id": op9_language_id,
 }
 
 #: DuckDB SQL where SQL can express the query.
