@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinsplit.llm import flac, language_id, quality, toxicity
+from kinsplit.llm import bitpack, flac, language_id, quality, toxicity
 from kinsplit.llm.util import table
 
 
@@ -22,6 +23,10 @@ def op7_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.op8(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op9(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op6_toxicity": op6_toxicity,
     "op7_media_flac": op7_media_flac,
+    "op8_packed_ids": op8_packed_ids,
     "op9_language_id": op9_language_id,
 }
 
