@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinsplit.llm import bitpack, flac, language_id, quality, toxicity
+from kinsplit.llm import bitpack, decontaminate, flac, language_id, quality, toxicity
 from kinsplit.llm.util import table
 
 
@@ -31,12 +31,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op6_toxicity": op6_toxicity,
     "op7_media_flac": op7_media_flac,
     "op8_packed_ids": op8_packed_ids,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL where SQL can express the query.

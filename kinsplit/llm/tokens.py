@@ -26,6 +26,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For comparison without punctuation: words are runs of letters, digits and bytes beyond ASCII.
+NOT_ALPHANUMERIC = np.ones(256, bool)
+NOT_ALPHANUMERIC[48:58] = NOT_ALPHANUMERIC[65:91] = NOT_ALPHANUMERIC[97:123] = NOT_ALPHANUMERIC[128:] = False
 
 
 def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,17 +45,17 @@ def text_bytes(text: str | None) -> np.ndarray:
     return LOWER[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
 
 
-def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """Start and end offsets of the words in these bytes."""
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~SEPARATOR[data]
+    inside[1:-1] = ~separator[data]
     edge = np.diff(inside)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, separator: np.ndarray = SEPARATOR) -> np.ndarray:
     """A 64-bit hash for each word; equal words, equal hashes."""
-    start, end = spans(data)
+    start, end = spans(data, separator)
     power, inverse = _up_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
