@@ -1,10 +1,7 @@
-"""Shared helpers: table access, label folds, shared scratch tables."""
+"""Shared helpers: table access, label folds, samples to learn from."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,35 +15,6 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (tests on
-    one machine) a temporary folder takes its place for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="kinsplit-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kinsplit-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write to a shared table and read it again: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete a table of :func:`stored` that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, max_chars: int) -> list[tuple[str, int]]:
     """At most ``rows`` labelled texts of at most ``max_chars`` characters, to fit a model on.
 
