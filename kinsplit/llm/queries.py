@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinsplit.llm import bitpack, bpe, decontaminate, flac, jaccard_join, language_id, quality, toxicity
+from kinsplit.llm import bitpack, bpe, decontaminate, flac, jaccard_join, language_id, quality, toxicity, url_filter
 from kinsplit.llm.util import table
 
 
@@ -15,6 +15,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op3(table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op4(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_toxicity": op6_toxicity,
@@ -55,4 +60,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE}
