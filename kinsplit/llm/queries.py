@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinsplit.llm import bitpack, bpe, decontaminate, flac, jaccard_join, language_id, quality, toxicity, url_filter
+from kinsplit.llm import bitpack, bpe, decontaminate, flac, jaccard_join, language_id, license_scan, quality, toxicity, url_filter
 from kinsplit.llm.util import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
