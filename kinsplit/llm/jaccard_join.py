@@ -300,14 +300,8 @@ def _search_groups(part: pd.DataFrame, starts, stops) -> pd.DataFrame:
     return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
-
-    Rows without words (null, empty, white space) link with nothing, not even each other:
-    their component is their own id. Equal texts link. A row with a null doc_id takes part
-    and never names a component, unless all of it are such rows: then it is null. Rows that
-    share a doc_id are rows of their own. Only doc_id and text are read.
-    """
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component (one of its nodes) of every row; null without words."""
     docs = docs.select("doc_id", "text")
     every = stored(nodes(docs))
     # Any text of a node has its set, so the one of least hash stands for it.
@@ -331,10 +325,44 @@ def join(docs: DataFrame) -> DataFrame:
     second = stored(_verified(stored(_searched(blocks, shapes, labels)), docs, shapes))
     if not second.isEmpty():
         labels = connected_components(first.unionByName(second))
-    named = every.select("doc_id", "n_shingles", "node").join(labels.withColumnRenamed("vertex", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = every.join(labels.withColumnRenamed("vertex", "node"), "node", "left")
+    return named.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node").alias("component"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
+
+    Rows without words (null, empty, white space) link with nothing, not even each other:
+    their component is their own id. Equal texts link. A row with a null doc_id takes part
+    and never names a component, unless all of it are such rows: then it is null. Rows that
+    share a doc_id are rows of their own. Only doc_id and text are read.
+    """
+    named = components(docs)
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = named.join(least, "component", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, the one of smallest doc_id (null last).
+
+    Rows without words all stay. Of rows that agree in doc_id and text one stays. All
+    columns are kept as they are.
+    """
+    named = stored(components(docs).filter("component is not null"))
+    rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    first = named.groupBy("component").agg(F.min(rank).alias("first")).select("component", F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
+    other = ~F.col("doc_id").eqNullSafe(F.col("keep_id")) | (F.col("text_hash") != F.col("keep_hash"))
+    gone = stored(named.join(first, "component").filter(other).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # 16 bytes a row
+    hashed = F.xxhash64(docs["text"])
+    kept = docs.join(side, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (hashed == F.col("_gone_hash")), "left_anti")
+    repeated = named.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("_again_id"), F.col("text_hash").alias("_again_hash"))
+    repeated = stored(repeated)
+    if repeated.isEmpty():
+        return kept
+    same = kept["doc_id"].eqNullSafe(F.col("_again_id")) & (F.xxhash64(kept["text"]) == F.col("_again_hash"))
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op4(docs: DataFrame) -> DataFrame:
