@@ -27,7 +27,8 @@ def leave_one_group_out(spec: SplitSpec) -> DataFrame:
 def grouped_folds(spec: SplitSpec, v: int = 5) -> DataFrame:
     """sample_id, fold (0 to v-1); a group is never split."""
     check(v > 1, "v must be at least 2")
-    return spec.df.select("sample_id", F.pmod(F.crc32(F.col(spec.group_var).cast("binary")), F.lit(v)).cast("int").alias("fold"))
+    number = F.conv(F.substring(F.md5(F.col(spec.group_var).cast("binary")), 1, 8), 16, 10).cast("long")
+    return spec.df.select("sample_id", (number % v).cast("int").alias("fold"))
 
 
 def rolling_origin(spec: SplitSpec, initial: int | None = None, assess: int = 1) -> DataFrame:

@@ -158,8 +158,8 @@ def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None,
     every = stored(reduce(DataFrame.unionByName, [f.withColumn("_rule", F.lit(i)) for i, f in enumerate(rules)], empty))
     from kinsplit.plans.numbering import numbered
 
-    named = numbered(every, ["_rule", "_order", "message"], "_n") if not every.isEmpty() else every.withColumn("_n", F.lit(0).cast("long"))
-    table = named.select(F.concat(F.lit("issue_"), F.col("_n").cast("string")).alias("issue_id"), "level", "severity", "code", "message", "node_ids", "edge_ids")
+    named = numbered(every, ["_rule", "_order", "message"], "_number") if not every.isEmpty() else every.withColumn("_number", F.lit(0).cast("long"))
+    table = named.select(F.concat(F.lit("issue_"), F.col("_number").cast("string")).alias("issue_id"), "level", "severity", "code", "message", "node_ids", "edge_ids")
     n = every.groupBy("severity").agg(F.count("*").alias("rows"), F.count_distinct("message").alias("texts")).collect()
     by = {r.severity: r for r in n}
     texts = {s: [r.message for r in every.filter(F.col("severity") == s).select("message").distinct().orderBy("message").limit(1000).collect()] if s in by else [] for s in SEVERITIES}

@@ -16,7 +16,7 @@ def numbered(frame: DataFrame, order: list[Column | str], name: str = "ord") ->
     each range.
     """
     dealt = stored(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return own.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_n", "_before", "_own")
+    return own.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_rows", "_before", "_own")
