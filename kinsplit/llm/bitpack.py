@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from kinsplit.plans.scratch import stored
 
 MAGIC, BLOCK, FILE_IDS, END_ID = b"KBP1", 4096, 1 << 20, 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which begins contractions
 _HEAD = struct.Struct("<4sBIQII")  # magic, bits, block size, ids, blocks, documents
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "?"), ("start", "<i8"), ("n", "<i8")])
 
@@ -97,7 +99,9 @@ class WordCodec:
     """Ids of texts by the tokenizers library, one call for each distinct word.
 
     Splitting at ASCII white space is safe for a tokenizer that drops white space before
-    its merges: no token spans it. The cache is emptied at ``CACHE_WORDS`` entries.
+    its merges: no token spans it. Nor does one span a letter and the signs after it, so
+    these are split off; ASCII words are asked for in lower case, as the tokenizer lowers
+    them anyway. The caches are emptied at ``CACHE_WORDS`` entries.
     """
 
     def __init__(self, path: str):
@@ -108,19 +112,34 @@ class WordCodec:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.bits = width(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.cache: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        pairs = []
+        for w in new:
+            s = w.decode()
+            core = s.rstrip(SIGNS)
+            tail = s[len(core) :]
+            if not tail or not core or not core[-1].isalpha():
+                core, tail = s, ""
+            pairs.append((core.lower() if core.isascii() else core, tail))
+        asked = list({part for pair in pairs for part in pair}.difference(self.cores))
+        for at in range(0, len(asked), 20_000):
+            some = asked[at : at + 20_000]
+            for core, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.cores[core] = array("I", e.ids).tobytes()
+        for w, (core, tail) in zip(new, pairs):
+            self.cache[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
 
     def encode(self, texts) -> list[np.ndarray]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = set().union(*split).difference(self.cache) if split else set()
+        new = set().union(*split).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
+            self.cores.clear()
             new = set().union(*split)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get, end = self.cache.__getitem__, np.array([END_ID], "<u4").tobytes()
+        self._learn(list(new))
+        get, end = self.cache.__getitem__, array("I", [END_ID]).tobytes()
         return [np.frombuffer(b"".join(map(get, own)) + end, "<u4") for own in split]
 
 
