@@ -147,10 +147,17 @@ def _grams_of(words: Column) -> Column:
 
 
 def fit_on(docs: DataFrame) -> Model:
-    """Train with ordinary paragraphs from a bounded sample: ``SAMPLE_PARAGRAPHS`` of least hash."""
-    paragraphs = docs.select(F.explode(F.split("text", "\n")).alias("p")).filter((F.length("p") > 20) & (F.length("p") <= 2000) & (F.xxhash64("p") % 97 == 0))
-    rows = paragraphs.select("p", F.xxhash64("p", F.lit(1)).alias("h")).orderBy("h", "p").limit(SAMPLE_PARAGRAPHS).collect()
-    return train([r.p for r in rows])
+    """Train with ordinary paragraphs from a bounded sample: ``SAMPLE_PARAGRAPHS`` of least hash.
+
+    The hashes alone are ranked first, so that no task sends more than these.
+    """
+    paragraphs = docs.select(F.explode(F.split("text", "\n")).alias("p")).filter((F.length("p") > 20) & (F.length("p") <= 2000))
+    hashed = paragraphs.select("p", F.xxhash64("p", F.lit(1)).alias("h"))
+    least = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_PARAGRAPHS).agg(F.max("h")).first()[0]
+    if least is None:
+        return train([])
+    rows = hashed.filter(F.col("h") <= least).groupBy("h").agg(F.min("p").alias("p")).limit(SAMPLE_PARAGRAPHS).collect()
+    return train([r.p for r in sorted(rows, key=lambda r: (r.h, r.p))])
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
