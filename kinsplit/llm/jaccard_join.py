@@ -12,7 +12,8 @@ shingles (frequent ones last, else by hash), and for the smaller document even a
 first ninth. Documents with equal sets are one node from the start. A block's nodes are
 first compared with three of their own as heads; nodes that are then connected need no
 further link, and only blocks that still hold several components are searched by tree,
-in cells of at most ``CELL`` nodes against ``CELL``. No link between components is lost.
+in cells of at most ``CELL`` nodes against ``CELL``: first for the most promising
+partner of each node, in the end for all. No link between components is lost.
 
 Order, cells and heads steer the work only; the links found do not depend on them.
 """
@@ -32,8 +33,8 @@ from kinsplit.plans.components import connected_components
 from kinsplit.plans.scratch import stored
 
 WORDS, PERCENT = 5, 80
-#: Groups of a point by the size of its set: few for small sets, as a bound needs about n/25 groups.
-GROUPS = ((1024, 64), (8192, 256), (1 << 62, 1024))
+#: Groups of a point by the size of its set: a bound needs about n/25 groups, and tells more with more.
+GROUPS = ((64, 64), (2048, 256), (1 << 62, 1024))
 CELL, FANOUT = 1024, 32
 #: Frequent shingles that are ordered last: at most so many, counted over all documents.
 FREQUENT, LEAST_COUNT, SUMMARY = 20_000, 20, 200_000
@@ -104,24 +105,43 @@ class RTree:
         return self.order[rows]
 
 
-def search(points: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a left and a right member, of different components, that may link."""
+def search(points: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray, best: bool = False) -> list[tuple[int, int]]:
+    """Pairs of a left and a right member, of different components, that may link.
+
+    With ``best`` only the partner of the highest bound for each left member.
+    """
     found = set()
     widths = np.array([len(p) for p in points])
+    top: dict[int, tuple[float, int]] = {}
     for groups in sorted(set(widths)):  # a pair meets at the width of its smaller member
         rows_r = right[widths[right] >= groups]
         rows_l = left[widths[left] >= groups]
         if not len(rows_r) or not len(rows_l):
             continue
-        tree = RTree(np.array([narrowed(points[i], groups) for i in rows_r]))
+        own = np.array([narrowed(points[i], groups) for i in rows_r])
+        sizes = own.sum(1)
         narrow = widths[rows_r] == groups
+        tree = RTree(own) if len(rows_r) > FANOUT else None
         for i in rows_l.tolist():
-            at = tree.partners(narrowed(points[i], groups))
+            q = narrowed(points[i], groups)
+            near = component[rows_r] != component[i]
             if widths[i] != groups:
-                at = at[narrow[at]]
-            for j in rows_r[at].tolist():
-                if i != j and component[i] != component[j]:
-                    found.add((min(i, j), max(i, j)))
+                near &= narrow
+            if tree is None:
+                at = np.flatnonzero(near)
+            else:
+                at = tree.partners(q)
+                at = at[near[at]]
+            if not len(at):
+                continue
+            common, least = np.minimum(own[at], q).sum(1), needed(int(q.sum()), sizes[at])
+            at, ratio = at[common >= least], (common / least)[common >= least]
+            if best and len(at):
+                k = int(ratio.argmax())
+                top[i] = max(top.get(i, (0.0, -1)), (float(ratio[k]), int(rows_r[at[k]])))
+            else:
+                found.update((min(i, j), max(i, j)) for j in rows_r[at].tolist())
+    found.update((min(i, j), max(i, j)) for i, (_, j) in top.items())
     return sorted(found)
 
 
@@ -256,8 +276,8 @@ def _bounded(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
     return both.filter(allowed(F.col("p_a"), F.col("n_a"), F.col("p_b"), F.col("n_b"))).select("a", "b")
 
 
-def _searched(blocks: DataFrame, shapes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that a block's tree finds."""
+def _searched(blocks: DataFrame, shapes: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+    """Pairs of nodes in different components that a block's tree finds; all, or the best of each node."""
     within = Window.partitionBy("sig")
     open_ = (
         blocks.filter("members > 2")
@@ -274,30 +294,35 @@ def _searched(blocks: DataFrame, shapes: DataFrame, labels: DataFrame) -> DataFr
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
+        seen: set[tuple[int, int]] = set()  # pairs meet in many blocks
         for part in batches:
             part = part if rest is None else pd.concat([rest, part], ignore_index=True)
             key = part[["sig", "row", "col"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else []
-            yield _search_groups(part, starts[:-1], starts[1:])
+            yield _search_groups(part, starts[:-1], starts[1:], best, seen)
             rest = part.iloc[starts[-1] :] if len(starts) else None
         if rest is not None:
-            yield _search_groups(rest, [0], [len(rest)])
+            yield _search_groups(rest, [0], [len(rest)], best, seen)
 
     return pointed.mapInPandas(scan, "a long, b long").distinct()
 
 
-def _search_groups(part: pd.DataFrame, starts, stops) -> pd.DataFrame:
+def _search_groups(part: pd.DataFrame, starts, stops, best: bool, seen: set[tuple[int, int]]) -> pd.DataFrame:
     node, component, own, row, col = (part[c].to_numpy() for c in ("node", "component", "own", "row", "col"))
     out = set()
     for start, stop in zip(starts, stops):
         points = _points(part.point.iloc[start:stop], part.n_shingles.iloc[start:stop])
         mine = own[start:stop]
         left, right = np.flatnonzero(mine == row[start]), np.flatnonzero(mine == col[start])
-        for i, j in search(points, left, right, component[start:stop]):
+        for i, j in search(points, left, right, component[start:stop], best):
             a, b = int(node[start + i]), int(node[start + j])
             if a != b:
                 out.add((max(a, b), min(a, b)))
-    return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+    new = sorted(out - seen)
+    if len(seen) > 500_000:
+        seen.clear()
+    seen.update(new)
+    return pd.DataFrame(new, columns=["a", "b"], dtype="int64")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -320,11 +345,22 @@ def components(docs: DataFrame) -> DataFrame:
     blocks = stored(shared.join(once, "sig"))
     heads = F.explode(F.array_distinct(F.array("lo", "hi", "mid")))
     star = blocks.select("node", heads.alias("head")).filter("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    first = stored(_verified(stored(_bounded(star, shapes)), docs, shapes))
-    labels = connected_components(first)
-    second = stored(_verified(stored(_searched(blocks, shapes, labels)), docs, shapes))
-    if not second.isEmpty():
-        labels = connected_components(first.unionByName(second))
+    tried = stored(_bounded(star, shapes))
+    links = stored(_verified(tried, docs, shapes))
+    labels = connected_components(links)
+    # Twice the most promising partner of each node; then all pairs that are still between
+    # components, so that nothing is left out. What was compared is not compared again.
+    for best in (True, True, False):
+        pairs = stored(_searched(blocks, shapes, labels, best).join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            if best:
+                continue
+            break
+        more = stored(_verified(pairs, docs, shapes))
+        tried = tried.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = connected_components(links)
     named = every.join(labels.withColumnRenamed("vertex", "node"), "node", "left")
     return named.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node").alias("component"))
 
