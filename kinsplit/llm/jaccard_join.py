@@ -39,6 +39,7 @@ CELL, FANOUT = 1024, 32
 #: Frequent shingles that are ordered last: at most so many, counted over all documents.
 FREQUENT, LEAST_COUNT, SUMMARY = 20_000, 20, 200_000
 BROADCAST_ROWS = 500_000
+EMIT_ROWS = 100_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -207,8 +208,14 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot, rank = shared.value
         done: set[int] = set()
+
+        def rows(out: list[tuple[np.ndarray, int, int, int]]) -> pd.DataFrame:
+            sizes = [len(o[0]) for o in out]
+            short = np.concatenate([np.arange(n) < o[3] for n, o in zip(sizes, out)])
+            return pd.DataFrame({"sig": np.concatenate([o[0] for o in out]), "node": np.repeat([o[1] for o in out], sizes), "size": np.repeat(np.array([o[2] for o in out], np.int32), sizes), "short": short})
+
         for part in batches:
-            out = []
+            out, held = [], 0
             for text in part.text:
                 own = shingles(text)
                 if not len(own):
@@ -224,10 +231,13 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     late = np.where(hot[at] == own, rank[at], 0)
                     if late.any():
                         own = own[np.argsort(late, kind="stable")]
-                out.append((own[:long].view(np.int64), node, len(own), np.arange(long) < short))
+                out.append((own[:long].view(np.int64).copy(), node, len(own), short))
+                held += long
+                if held >= EMIT_ROWS:  # a batch of texts has many times as many rows
+                    yield rows(out)
+                    out, held = [], 0
             if out:
-                sizes = [len(o[0]) for o in out]
-                yield pd.DataFrame({"sig": np.concatenate([o[0] for o in out]), "node": np.repeat([o[1] for o in out], sizes), "size": np.repeat([o[2] for o in out], sizes), "short": np.concatenate([o[3] for o in out])})
+                yield rows(out)
 
     return docs.select("text").mapInPandas(emit, "sig long, node long, size int, short boolean")
 
@@ -332,16 +342,22 @@ def components(docs: DataFrame) -> DataFrame:
     # Any text of a node has its set, so the one of least hash stands for it.
     shapes = stored(every.filter("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("n_shingles"), F.min("point").alias("point")))
     within = Window.partitionBy("sig")
+    # A set has a row for each task that met a copy of it; one is kept, so that a block lists each node once.
+    again = F.lag("node").over(within.orderBy("node"))
+    # Blocks of the same nodes, as those of a group of copies, are searched once: equal in
+    # number and ends, in the xor of their names and in the sum of another hash of these.
+    same = F.bit_xor("node").over(within), F.sum(F.shiftrightunsigned(F.xxhash64("node"), 32)).over(within)
     shared = (
         signatures(docs, frequent_shingles(docs))
+        .withColumn("again", again)
+        .filter("again is null or again <> node")
         .withColumns({"lo": F.min("node").over(within), "hi": F.max("node").over(within), "short": F.max("short").over(within)})
         .filter("lo <> hi and short")
-        .withColumns({"mid": F.min_by("node", F.xxhash64("node")).over(within), "members": F.count("*").over(within), "same": F.bit_xor("node").over(within)})
-        .drop("short", "size")
+        .withColumns({"mid": F.min_by("node", F.xxhash64("node")).over(within), "members": F.count("*").over(within), "same": same[0], "total": same[1]})
+        .drop("again", "short", "size")
     )
     shared = stored(shared)
-    # Blocks of the same nodes, as those of a group of copies, are searched once.
-    once = shared.groupBy("same", "members", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
+    once = shared.groupBy("same", "total", "members", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
     blocks = stored(shared.join(once, "sig"))
     heads = F.explode(F.array_distinct(F.array("lo", "hi", "mid")))
     star = blocks.select("node", heads.alias("head")).filter("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()

@@ -158,6 +158,18 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
     assert kept == sorted(d for d, _, c in got if d == c)
 
 
+def test_copies_in_two_tasks_hide_no_block(spark):
+    """Two pairs of near copies, each with its passage in the same two other texts, all of it in two partitions."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    c, d = ([word() for _ in range(16)] for _ in range(2))
+    whole = [[*c, *d, *(word() for _ in range(6))] for _ in range(2)]
+    texts = [" ".join(w) for w in (*whole, c, [*c[:-1], "last"], d, [*d[:-1], "last"])]
+    rows = list(enumerate(texts * 2))
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.join(frame).collect()) == brute_components(rows)
+
+
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(0)
     points = rng.poisson(2, (300, 64)).astype(np.int64)
