@@ -5,14 +5,19 @@ positions are ignored, so a hit survives substitutions there. Seeds of all bench
 items are joined with the seeds at every word of every document. Each hit fixes an
 alignment of item and document, which is then compared word by word: an item leaks where
 some run of ``RUN`` aligned words (all of them in shorter items) agrees in at least
-``AGREE`` of its places. Words are runs of letters and digits in lower case, so
-punctuation and spacing do not matter.
+``AGREE`` of its places. Words are runs of letters and digits in lower case, so punctuation and
+spacing, ASCII or not, do not matter.
 
-Items under ``LEAST_WORDS`` words, and null ones, say too little and are not looked for.
+In an item of 5 to 12 words the masks above may all meet a substitution, so these are
+looked for by ``SHORT_MASKS`` too; the tests enumerate that each length is complete. In
+items under 5 words the rule leaves no place for a substitution, and their mask is the
+item. Null items and items without words have nothing to look for.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -24,14 +29,35 @@ from pyspark.sql import functions as F
 from kinsplit.llm.tokens import NOT_ALPHANUMERIC, mix, text_bytes, word_hashes
 
 MASKS = ("11111", "1101011", "11100101", "1011001001", "110010000101")
-RUN, AGREE, LEAST_WORDS = 13, 0.8, 5
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+RUN, AGREE = 13, 0.8
 #: Words of benchmark text that are broadcast at a time; a larger benchmark takes several passes.
 BLOCK_WORDS = 2_000_000
 _FILTER_BITS = 22
 
 
+def _is_sign(char: str) -> bool:
+    """Punctuation, symbols and spaces; marks stay within their words."""
+    return unicodedata.category(char)[0] in "PSZ"
+
+
+# A class with characters beyond 0xFFFF is matched range by range, so these have a pattern of their own.
+_SIGNS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(128, 0x10000) if _is_sign(chr(c))) + "]+")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
 def hashes(text: str | None) -> np.ndarray:
-    return word_hashes(text_bytes((text or "").lower()), NOT_ALPHANUMERIC)
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _BEYOND.sub(lambda m: " " if _is_sign(m[0]) else m[0], _SIGNS.sub(" ", text))
+    return word_hashes(text_bytes(text), NOT_ALPHANUMERIC)
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks by which an item of ``n`` words is looked for."""
+    if n < 5:
+        return ("1" * n,)
+    return MASKS + SHORT_MASKS if n < RUN else MASKS
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -53,8 +79,9 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.tables = []
-        for mask in MASKS:
-            found = [seeds(w, mask) for w in self.words]
+        by_item = [masks_of(len(w)) for w in self.words]
+        for mask in dict.fromkeys([*MASKS, *(m for own in by_item for m in own)]):
+            found = [seeds(w, mask) if mask in own else w[:0] for w, own in zip(self.words, by_item)]
             hash_ = np.concatenate(found) if found else np.zeros(0, np.uint64)
             item = np.repeat(np.arange(len(found)), [len(f) for f in found])
             place = np.concatenate([np.arange(len(f)) for f in found]) if found else item
@@ -102,7 +129,7 @@ def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
     held, size = [], 0
     for row in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct().toLocalIterator():
         words = hashes(row.text)
-        if len(words) >= LEAST_WORDS:
+        if len(words):
             if held and size + len(words) > BLOCK_WORDS:
                 yield Index(held)
                 held, size = [], 0

@@ -199,6 +199,28 @@ def test_two_substitutions_in_thirteen_words_never_hide_a_seed():
         assert any(all(m[k] == "0" or p + k not in gone for k in range(len(m))) for m in decontaminate.MASKS for p in range(13 - len(m) + 1))
 
 
+@pytest.mark.parametrize("n", range(1, 14))
+def test_no_allowed_substitutions_hide_an_item(n):
+    words = decontaminate.hashes(" ".join(f"w{i}" for i in range(n)))
+    index = decontaminate.Index([(7, words)])
+    for k in range(n - int(np.ceil(0.8 * n)) + 2):
+        for gone in itertools.combinations(range(n), k):
+            changed = words.copy()
+            changed[list(gone)] += np.uint64(1)
+            found = index.leaks(changed)
+            assert found == ([(7, 0, n - k, n)] if n - k >= 0.8 * n else []), gone
+
+
+def test_short_items_and_signs_beyond_ascii(spark):
+    items = ["Paris", "to be or not", "one two three four five", "“Quoted” words — and 😀more…", "", None, "…"]
+    texts = ["in PARIS.", "to be or", "to be, or not!", "one two tree four five", "one two tree fore five", "quoted words and more", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = [(0, 0), (2, 1), (3, 2), (5, 3)]
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()) == want
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(frame, bench).collect()) == [1, 4, 6, 7]
+
+
 def labelled(n, seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(["ba", "ne", "ri", "to", "lu"]) for _ in range(rng.randint(1, 4)))
