@@ -14,7 +14,7 @@ repetition of words, word and line lengths. Everything is numpy over bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,19 +78,35 @@ def _adam(gradient, size: int) -> np.ndarray:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from both groups' scores (best bin)."""
-    positive, unlabelled = np.sort(positive), np.sort(unlabelled)
-    cuts = positive[: max(1, int(0.9 * len(positive)))]  # at least a tenth of the positives lies above
+def cuts_of(positive: np.ndarray) -> np.ndarray:
+    """Scores to cut at, ascending; at least a tenth of the positives lies above each."""
+    return np.sort(positive)[: max(1, int(0.9 * len(positive)))]
+
+
+def estimate_prior(positive: np.ndarray, tally: np.ndarray) -> float:
+    """The share of positives among the unlabelled (best bin).
+
+    ``tally[k]`` unlabelled scores reach exactly ``k`` of the cuts of the positives' scores.
+    """
+    positive, cuts = np.sort(positive), cuts_of(positive)
+    total = tally.sum()
     above_p = 1 - np.searchsorted(positive, cuts, "left") / len(positive)
-    above_u = 1 - np.searchsorted(unlabelled, cuts, "left") / len(unlabelled)
-    slack = np.sqrt(np.log(40) / (2 * len(positive))) + np.sqrt(np.log(40) / (2 * len(unlabelled)))
+    above_u = np.cumsum(tally[::-1])[::-1][1:] / total
+    slack = np.sqrt(np.log(40) / (2 * len(positive))) + np.sqrt(np.log(40) / (2 * total))
     best = np.argmin((above_u + slack) / above_p)
     return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """Fit on the features of trusted positives and of unlabelled texts."""
+def _tally(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.searchsorted(cuts, scores, "right"), minlength=len(cuts) + 1)
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, count: Callable[[Model, np.ndarray], np.ndarray] | None = None) -> Model:
+    """Fit on the features of trusted positives and of unlabelled texts.
+
+    ``count`` gives the tally of all unlabelled texts by a model's scores and cuts of
+    these; without it, it is taken of every second of ``unlabelled``.
+    """
     if len(positive) < 10 or len(unlabelled) < 10:  # nothing to learn from: every text keeps the benefit of the doubt
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), 0.5)
     both = np.concatenate([positive, unlabelled])
@@ -104,7 +120,10 @@ def train(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
         return _adam(gradient, p.shape[1])
 
     w = against(p[::2], u[::2])
-    prior = estimate_prior(p[1::2] @ w, u[1::2] @ w)
+    held = Model(mean, scale, w, 0.5)
+    own = held.scores(positive[1::2])
+    cuts = cuts_of(own)
+    prior = estimate_prior(own, count(held, cuts) if count else _tally(held.scores(unlabelled[1::2]), cuts))
 
     def gradient(w):
         zp, zu = p @ w, u @ w
@@ -129,18 +148,32 @@ def fit_on(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model
     """Learn from bounded samples (``POSITIVE_ROWS``, ``UNLABELLED_ROWS``).
 
     Positives are rows labelled 1 with crc32(doc_id) mod 5 not 0; unlabelled texts are
-    those that ``labels`` does not list. Both are the rows with the smallest id hashes.
+    those whose label is not used: not listed, with a null label, or in the held-out fold,
+    whatever their label there. Both samples are the rows with the smallest id hashes; the
+    prior is estimated on every unlabelled text.
     """
+    used = labels.filter((fold(F.col("doc_id"), 5) != 0) & F.col(column).isNotNull()).select("doc_id").distinct()
     trusted = (
         labels.filter((fold(F.col("doc_id"), 5) != 0) & F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).alias("lo")).filter("lo = 1").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(POSITIVE_ROWS).withColumn("positive", F.lit(True))
     )
-    other = docs.select("doc_id").join(labels.select("doc_id").distinct(), "doc_id", "left_anti").distinct().select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(UNLABELLED_ROWS).withColumn("positive", F.lit(False))
+    other = docs.select("doc_id").join(used, "doc_id", "left_anti").distinct().select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(UNLABELLED_ROWS).withColumn("positive", F.lit(False))
     # Both lists are bounded by parameters, so the broadcast is.
     picked = F.broadcast(trusted.unionByName(other).select("doc_id", "h", "positive"))
     found = docs.select("doc_id", "text").join(picked, "doc_id").select("positive", "h", _features_column().alias("x")).collect()
     found.sort(key=lambda r: (r.h, r.x))
     take = lambda kind, n: np.array([r.x for r in found if r.positive == kind][:n]).reshape(-1, N_FEATURES)
-    return train(take(True, POSITIVE_ROWS), take(False, UNLABELLED_ROWS))
+
+    def count(held: Model, cuts: np.ndarray) -> np.ndarray:
+        reached = F.pandas_udf(lambda x: pd.Series(np.searchsorted(cuts, x.to_numpy(), "right")), "int")
+        # Scored before the join, so that no text is shuffled; an anti-join would be pushed below the scores.
+        binned = score(docs.select("doc_id", "text"), held, "_held").select("doc_id", reached("_held").alias("bin"))
+        rows = binned.join(used.withColumn("_used", F.lit(True)), "doc_id", "left").filter("_used is null").groupBy("bin").count().collect()
+        tally = np.zeros(len(cuts) + 1, np.int64)
+        for r in rows:  # at most one for each cut
+            tally[r.bin] = r["count"]
+        return tally
+
+    return train(take(True, POSITIVE_ROWS), take(False, UNLABELLED_ROWS), count)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

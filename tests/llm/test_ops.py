@@ -258,6 +258,20 @@ def test_quality(spark):
     assert quality.train(x([]).reshape(0, quality.N_FEATURES), x([]).reshape(0, quality.N_FEATURES)).scores(x([""]))[0] == 0.5
 
 
+def test_quality_where_labels_list_every_document(spark, monkeypatch):
+    monkeypatch.setattr(quality, "UNLABELLED_ROWS", 40)
+    rng = random.Random(8)
+    good = lambda: " ".join("".join(rng.choice("ba ne ri to lu ka mi so".split()) for _ in range(3)) for _ in range(60)) + "."
+    rows = [(i, good() if i % 3 else good().replace(" ", " %%% ")) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None if i % 7 == 0 else int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
+    tallies = []
+    monkeypatch.setattr(quality, "estimate_prior", lambda p, tally, own=quality.estimate_prior: tallies.append(tally) or own(p, tally))
+    got = {r.doc_id: r.predicted for r in quality.op2(frame, labels).collect()}
+    assert np.mean([got[i] == int(i % 3 > 0) for i, _ in rows]) > 0.9
+    assert tallies[0].sum() == sum(zlib.crc32(str(i).encode()) % 5 == 0 or i % 7 == 0 for i, _ in rows)
+
+
 def test_language(spark):
     de, en = "der die das und nicht ein ich werden haben schule", "the and that with have this from they which school"
     rng = random.Random(6)
