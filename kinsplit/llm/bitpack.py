@@ -102,14 +102,19 @@ class WordCodec:
     its merges: no token spans it. Nor does one span a letter and the signs after it, so
     these are split off; ASCII words are asked for in lower case, as the tokenizer lowers
     them anyway. The caches are emptied at ``CACHE_WORDS`` entries.
+
+    With ``literal`` the strings of special tokens in a text are ordinary text; without
+    it they are these tokens, as by the library's default, and words that hold such a
+    string are asked for whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [] if literal else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bits = width(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.cache: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
@@ -118,6 +123,9 @@ class WordCodec:
         pairs = []
         for w in new:
             s = w.decode()
+            if self.added and any(t in s.lower() for t in self.added):
+                pairs.append((s, ""))
+                continue
             core = s.rstrip(SIGNS)
             tail = s[len(core) :]
             if not tail or not core or not core[-1].isalpha():
@@ -148,7 +156,7 @@ _CODECS: dict[str, WordCodec] = {}
 
 def _codec(path: str) -> WordCodec:
     if path not in _CODECS:
-        _CODECS[path] = WordCodec(path)
+        _CODECS[path] = WordCodec(path, literal=False)
     return _CODECS[path]
 
 

@@ -81,6 +81,17 @@ def test_words_split_as_the_library_does():
         assert got.tolist() == t.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_special_tokens_as_the_library_reads_them(spark):
+    t = Tokenizer.from_file(PATH8)
+    texts = ["a <|endoftext|> b", "x<|startoftext|><|endoftext|>. Y!", "<|ENDOFTEXT|> <|endoftext|", "<|endoftext|>", "<|endoftext|>, é<|endoftext|>", "plain. Words!"]
+    got = bitpack.op8(docs(spark, [*texts[:3], "", *texts[3:]]).filter("doc_id is not null"), PATH8).orderBy("doc_id").collect()
+    start = 0
+    for r, text in zip(got, texts, strict=True):
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), text
+        start += len(ids)
+
+
 def test_flac_round_trips_and_seeks(spark):
     rng = random.Random(2)
     for p in (b"", b"a", b" " * 192, bytes(range(256)) * 40, rng.randbytes(9000), bytes([0, 255]) * 5000, "été ".encode() * 3000):
