@@ -140,8 +140,16 @@ def leakage(graph: DependencyGraph) -> list[DataFrame]:
 _OLD_CHECKS = {"ids": ("structural",), "references": ("structural",), "cardinality": ("structural", "semantic"), "schema": ("semantic",), "time": ("semantic",)}
 
 
+#: Messages of each severity that a report lists on the driver.
+MESSAGES = 1000
+
+
 def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None, error_on_fail: bool = False, levels: Sequence[str] = LEVELS, severities: Sequence[str] = SEVERITIES, validation_overrides: Mapping[str, Any] | None = None) -> Report:
-    """Issues of the selected layers; ``severities`` filters what is shown, not ``valid``."""
+    """Issues of the selected layers; ``severities`` filters what is shown, not ``valid``.
+
+    The report's lists of messages hold the first ``MESSAGES`` of each severity and then
+    the number of the others; its table and counts are whole.
+    """
     if checks is not None:
         deprecated("checks", "levels")
         for c in checks:
@@ -162,7 +170,10 @@ def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None,
     table = named.select(F.concat(F.lit("issue_"), F.col("_number").cast("string")).alias("issue_id"), "level", "severity", "code", "message", "node_ids", "edge_ids")
     n = every.groupBy("severity").agg(F.count("*").alias("rows"), F.count_distinct("message").alias("texts")).collect()
     by = {r.severity: r for r in n}
-    texts = {s: [r.message for r in every.filter(F.col("severity") == s).select("message").distinct().orderBy("message").limit(1000).collect()] if s in by else [] for s in SEVERITIES}
+    texts = {s: [r.message for r in every.filter(F.col("severity") == s).select("message").distinct().orderBy("message").limit(MESSAGES).collect()] if s in by else [] for s in SEVERITIES}
+    for s in by:
+        if by[s].texts > MESSAGES:
+            texts[s].append(f"... and {by[s].texts - MESSAGES} more")
     sizes = graph.nodes.agg(F.count("*").alias("n"), F.count_if(F.col("node_type") == "Sample").alias("s")).first()
     metrics = {"n_nodes": sizes.n, "n_samples": sizes.s, "n_edges": graph.edges.count(), "n_issues": sum(r.rows for r in n)} | {f"n_{'advisories' if s == 'advisory' else s + 's'}": by[s].texts if s in by else 0 for s in SEVERITIES}
     report = Report("error" not in by, table.filter(F.col("severity").isin(list(severities))), metrics, {"levels": list(levels), "severities": list(severities), "validation_overrides": overrides}, texts["error"], texts["warning"], texts["advisory"])

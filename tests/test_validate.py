@@ -82,3 +82,10 @@ def test_streaming(spark, tmp_path):
         q.stop()
     assert rows(spark.table("s_nodes"), "node_id") == [("sample:S1",), ("sample:S2",)]
     assert rows(spark.table("s_edges"), "edge_id") == [("sample_belongs_to_subject:sample:S1->subject:P1",)]
+
+
+def test_messages_left_out_are_counted(spark, monkeypatch):
+    monkeypatch.setattr("kinsplit.operators.validate.MESSAGES", 1, raising=False)
+    edges = [("e1", "sample:S1", "subject:P1", "sample_belongs_to_subject"), ("e2", "sample:S1", "batch:B1", "sample_processed_in_batch")] * 2
+    report = validate_graph(raw(spark, [S, P, B], edges))
+    assert len(report.errors) == 2 and report.errors[1] == f"... and {report.metrics['n_errors'] - 1} more"
