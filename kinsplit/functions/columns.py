@@ -13,12 +13,20 @@ def present(column: Column) -> Column:
 
 
 def as_key(frame: DataFrame, name: str) -> Column:
-    """A column as text; whole floating-point numbers lose their ``.0`` and never use exponents."""
+    """A column as text; floating-point numbers lose a ``.0`` and are written without exponents.
+
+    The digits are the shortest that name the number. Beyond 38 places before or after the
+    point, where no decimal reaches, the exponent stays.
+    """
     column, kind = F.col(f"`{name}`"), frame.schema[name].dataType
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        whole = (column == F.floor(column)) & (F.abs(column) < 9e15)
-        return F.when(whole, column.cast("long").cast("string")).otherwise(column.cast("string"))
-    return column.cast("string")
+    text = column.cast("string")
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        return text
+    size = F.abs(column)
+    plain = F.when(size >= 1e18, text.try_cast("decimal(38,0)").cast("string")).when(size >= 1, text.try_cast("decimal(38,18)").cast("string")).otherwise(text.try_cast("decimal(38,37)").cast("string"))
+    short = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    exact = (column == 0) | (short != "0")  # else smaller than any decimal
+    return F.when(exact & short.isNotNull(), F.when(column == 0, F.lit("0")).otherwise(short)).otherwise(text)
 
 
 def pack(names: list[str]) -> Column:

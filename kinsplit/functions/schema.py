@@ -20,6 +20,7 @@ class NodeType:
     prefix: str
     key: str
     optional: tuple[str, ...]
+    required: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -29,20 +30,20 @@ class EdgeType:
     target: str
 
 
-def _types(*rows: tuple[str, str]) -> dict[str, NodeType]:
-    return {name: NodeType(name, name.lower(), f"{name.lower()}_id", tuple(optional.split())) for name, optional in rows}
+def _types(**optional: tuple[str, ...]) -> dict[str, NodeType]:
+    return {name: NodeType(name, name.lower(), f"{name.lower()}_id", own) for name, own in optional.items()}
 
 
-#: Node types with their optional attributes, and relations with their ends.
+#: Node types with their optional attributes (none is required), and relations with their ends.
 NODE_TYPES = _types(
-    ("Sample", "subject_id batch_id study_id timepoint_id assay_id featureset_id outcome_id sample_role collection_date source_file"),
-    ("Subject", "subject_type species sex site enrollment_study"),
-    ("Batch", "batch_type platform processing_center run_date operator"),
-    ("Study", "study_name study_type institution country study_phase"),
-    ("Timepoint", "time_index time_value time_unit collection_datetime visit_label"),
-    ("Assay", "modality platform vendor protocol_version"),
-    ("FeatureSet", "featureset_name modality feature_count derivation_scope derivation_version generated_from"),
-    ("Outcome", "outcome_name outcome_type outcome_value outcome_scale observation_level"),
+    Sample=("subject_id", "batch_id", "study_id", "timepoint_id", "assay_id", "featureset_id", "outcome_id", "sample_role", "collection_date", "source_file"),
+    Subject=("subject_type", "species", "sex", "site", "enrollment_study"),
+    Batch=("batch_type", "platform", "processing_center", "run_date", "operator"),
+    Study=("study_name", "study_type", "institution", "country", "study_phase"),
+    Timepoint=("time_index", "time_value", "time_unit", "collection_datetime", "visit_label"),
+    Assay=("modality", "platform", "vendor", "protocol_version"),
+    FeatureSet=("featureset_name", "modality", "feature_count", "derivation_scope", "derivation_version", "generated_from"),
+    Outcome=("outcome_name", "outcome_type", "outcome_value", "outcome_scale", "observation_level"),
 )
 EDGE_TYPES = {
     name: EdgeType(name, source, target)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsplit.functions.schema import SCHEMA_VERSION
+from kinsplit.plans.scratch import stored
 
 
 def count_table(frame: DataFrame, column: str) -> DataFrame:
@@ -59,6 +61,17 @@ class DependencyGraph:
     def persist(self) -> DependencyGraph:
         return DependencyGraph(self.nodes.persist(), self.edges.persist(), self.metadata)
 
+    @cached_property
+    def stored(self) -> DependencyGraph:
+        """The same graph read from shared tables: it is computed once, whatever asks for it again.
+
+        Each relation and node type comes from files of its own, so a filter by type reads
+        only these.
+        """
+        graph = DependencyGraph(stored(self.nodes), stored(self.edges), self.metadata)
+        graph.__dict__["stored"] = graph
+        return graph
+
     def to_edge_list(self) -> DataFrame:
         return self.edges.select("from", "to", "edge_type", "edge_id")
 

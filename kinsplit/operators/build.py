@@ -7,13 +7,14 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinsplit.functions.columns import first_ids, listing, pack, present
 from kinsplit.functions.schema import EDGES, NODE_TYPES, NODES, SAMPLE_RELATION, DepGraphError, check
 from kinsplit.model import DependencyGraph, EdgeSet, NodeSet, graph_metadata
+from kinsplit.plans.numbering import numbered
 from kinsplit.sources.metadata import create_edges, create_nodes, ingest_metadata
 
 
@@ -113,11 +114,12 @@ def _prefix_hint(missing: list[str], nodes: DataFrame) -> str:
 def timepoint_precedence(meta: DataFrame, numbers: bool = True) -> EdgeSet:
     """Each timepoint precedes the next one by (time_index, timepoint_id).
 
-    There are few timepoints, so their global order is one small window.
+    Their order is dealt by ranges like any other: each meets the next by position.
     """
     times = meta.filter(present(F.col("timepoint_id")) & F.expr("try_cast(time_index as double)").isNotNull()).select("timepoint_id", F.expr("try_cast(time_index as double)").alias("time_index")).groupBy("timepoint_id").agg(F.min("time_index").alias("time_index"))
-    pairs = times.withColumn("next", F.lead("timepoint_id").over(Window.orderBy("time_index", "timepoint_id"))).filter("next is not null")
-    return create_edges(pairs, "timepoint_id", "next", "Timepoint", "Timepoint", "timepoint_precedes", order_by=["time_index", "timepoint_id"], numbers=numbers, checked=False)
+    placed = numbered(times, ["time_index", "timepoint_id"], "at")
+    after = placed.select(F.col("timepoint_id").alias("next"), (F.col("at") - 1).alias("at"))
+    return create_edges(placed.join(after, "at"), "timepoint_id", "next", "Timepoint", "Timepoint", "timepoint_precedes", order_by=["at"], numbers=numbers, checked=False)
 
 
 def graph_from_metadata(
@@ -131,11 +133,16 @@ def graph_from_metadata(
     validation_overrides: Mapping[str, Any] | None = None,
     numbers: bool = True,
     checked: bool = True,
+    order_by: Sequence[str] | None = None,
 ) -> DependencyGraph:
-    """A graph from the canonical columns that a metadata table has."""
+    """A graph from the canonical columns that a metadata table has.
+
+    Rows have no order of their own: ``order_by`` names the columns (as a row number) in
+    whose order edges are listed and numbered; without it, the ends' ids do.
+    """
     check(outcome_scope in ("sample", "subject"), "outcome_scope must be sample or subject")
     meta = ingest_metadata(meta, columns, dataset_name)
-    own = dict(numbers=numbers, checked=checked)
+    own = dict(numbers=numbers, checked=checked, order_by=order_by)
     present_types = [t for t in NODE_TYPES.values() if t.name not in ("Sample", "Outcome") and t.key in meta.columns]
     if present_types:
         some = meta.agg(*[F.bool_or(F.coalesce(present(F.col(t.key)), F.lit(False))).alias(t.key) for t in present_types]).first()

@@ -14,6 +14,7 @@ from kinsplit.functions.schema import MODE_TYPE, MODES, SAMPLE_RELATION, DepGrap
 from kinsplit.model import DependencyGraph, SplitConstraint
 from kinsplit.operators.query import Ids, detect_dependency_components, sample_nodes
 from kinsplit.operators.time_order import MOST_TIMEPOINTS, TimeOrder, time_order
+from kinsplit.plans.scratch import stored
 
 _MAP = ("sample_id", "sample_node_id", "group_id", "constraint_type", "group_label", "explanation")
 
@@ -37,25 +38,33 @@ def direct_assignment(graph: DependencyGraph, mode: str, samples: Ids = None) ->
     """sample_id, sample_node_id, target_id, target_key of every sample, and warnings.
 
     More than one edge of the mode's relation raises, but for subjects if the graph's
-    ``allow_multi_subject_samples`` is True: then the first edge counts.
+    ``allow_multi_subject_samples`` is True: then the edge of the lowest position (``ord``)
+    counts, which is the first listed one if the edges were numbered in the order of the
+    rows (``order_by``); without positions the least target. The table is written once, as
+    the checks and what follows read it several times.
     """
     relation = SAMPLE_RELATION[MODE_TYPE[mode]]
     asked = sample_nodes(graph, samples)
-    edges = graph.relation(relation).join(asked, F.col("from") == F.col("sample_node_id"), "left_semi")
-    notes: list[str] = []
-    twice, n = first_ids(edges.groupBy("from").count().filter("count > 1").join(asked, F.col("from") == F.col("sample_node_id")).select("sample_id"), "sample_id")
-    if twice:
-        if mode != "subject" or graph.metadata.get("validation_overrides", {}).get("allow_multi_subject_samples") is not True:
-            raise DepGraphError(f"Multiple {mode} assignments found for sample(s): {listing(twice, n)}")
-        notes.append(f"Samples linked to multiple subjects were assigned to their first listed subject (allow_multi_subject_samples override): {listing(twice, n)}")
-    first = edges.groupBy("from").agg(F.min(F.struct(F.coalesce("ord", F.lit(2**62)).alias("ord"), "to")).alias("e")).select(F.col("from").alias("sample_node_id"), F.col("e.to").alias("target_id"))
+    edges = graph.relation(relation)
+    if samples is not None:
+        edges = edges.join(asked, F.col("from") == F.col("sample_node_id"), "left_semi")
+    first = edges.groupBy(F.col("from").alias("sample_node_id")).agg(F.count("*").alias("_edges"), F.min(F.struct(F.coalesce("ord", F.lit(2**62)).alias("ord"), "to")).alias("e"))
     targets = graph.of_type(MODE_TYPE[mode]).select(F.col("node_id").alias("target_id"), F.col("node_key").alias("target_key"))
-    return asked.join(first.join(targets, "target_id"), "sample_node_id", "left").select("sample_id", "sample_node_id", "target_id", "target_key"), notes
-
-
-def _missing_note(assigned: DataFrame, word: str) -> list[str]:
-    ids, n = first_ids(assigned.filter("target_key is null"), "sample_id")
-    return [f"Samples missing {word} assignments were retained as singleton groups: {listing(ids, n)}"] if ids else []
+    linked = first.select("sample_node_id", "_edges", F.col("e.to").alias("target_id")).join(targets, "target_id", "left")
+    assigned = stored(asked.join(linked, "sample_node_id", "left").select("sample_id", "sample_node_id", "target_id", "target_key", "_edges"))
+    missing: list[str] = []
+    several: list[str] = []
+    facts = assigned.agg(F.count_if(F.col("_edges") > 1).alias("several"), F.count_if(F.col("target_key").isNull()).alias("missing")).first()
+    if facts.several:
+        twice = listing(*first_ids(assigned.filter("_edges > 1"), "sample_id"))
+        if mode != "subject" or graph.metadata.get("validation_overrides", {}).get("allow_multi_subject_samples") is not True:
+            raise DepGraphError(f"Multiple {mode} assignments found for sample(s): {twice}")
+        several.append(f"Samples linked to multiple subjects were assigned to their first listed subject (allow_multi_subject_samples override): {twice}")
+    assigned = assigned.drop("_edges")
+    if facts.missing:
+        word = "timepoint" if mode == "time" else mode
+        missing.append(f"Samples missing {word} assignments were retained as singleton groups: {listing(*first_ids(assigned.filter('target_key is null'), 'sample_id'))}")
+    return assigned, missing + several
 
 
 def sample_map(assigned: DataFrame, mode: str) -> DataFrame:
@@ -99,8 +108,6 @@ def _metadata(mode: str, relations: list[str], notes: list[str], **more: Any) ->
 
 def _direct(graph: DependencyGraph, mode: str, samples: Ids) -> SplitConstraint:
     assigned, notes = direct_assignment(graph, mode, samples)
-    word = "timepoint" if mode == "time" else mode
-    notes += _missing_note(assigned, word)
     relations = [SAMPLE_RELATION[MODE_TYPE[mode]]]
     if mode != "time":
         table = sample_map(assigned, mode).select(*_MAP)
@@ -135,8 +142,7 @@ def _rule_based(graph: DependencyGraph, samples: Ids, via: Sequence[str], priori
     check(set(order) <= set(modes), "`priority` must be a subset of `via`")
     table, notes, timing = sample_nodes(graph, samples), [], None
     for mode in order:
-        assigned, own = direct_assignment(graph, mode, samples)
-        notes += own
+        assigned, _ = direct_assignment(graph, mode, samples)
         extra = []
         if mode == "time":
             assigned, timing = _with_time(graph, assigned)
@@ -158,7 +164,7 @@ def _rule_based(graph: DependencyGraph, samples: Ids, via: Sequence[str], priori
         F.when(linked, F.concat(F.lit("composite_"), "_mode", F.lit(":"), "_key")).otherwise(F.concat(F.lit("composite:unlinked:"), "sample_id")).alias("group_id"),
         F.coalesce("_mode", F.lit("unlinked")).alias("constraint_type"),
         F.coalesce("_key", F.concat(F.lit("unlinked_"), "sample_id")).alias("group_label"),
-        F.when(linked, text).otherwise(f"No dependency was available for priority order {rule}; sample retained as an unlinked singleton group.").alias("explanation"),
+        F.when(linked, text).otherwise("No prioritized dependency assignment was available; sample retained as a singleton group.").alias("explanation"),
         *[F.col(c) if timing else none.cast(k).alias(c) for c, k in time_columns.items()],
     )
     ids, n = first_ids(table.filter("constraint_type = 'unlinked'"), "sample_id")
@@ -167,15 +173,18 @@ def _rule_based(graph: DependencyGraph, samples: Ids, via: Sequence[str], priori
     relations = [SAMPLE_RELATION[MODE_TYPE[m]] for m in order]
     some, all_ = False, False
     if timing:
-        notes += timing.warnings
-        if timing.source == "timepoint_precedes":
-            relations.append("timepoint_precedes")
         some, all_ = _ordering(table)
     return SplitConstraint("rule_based", table, _args(time="order_rank" if some else None, ordered=all_), _metadata("composite", relations, notes, via=modes, priority=order))
 
 
 def derive_split_constraints(graph: DependencyGraph, mode: str = "subject", samples: Ids = None, strategy: str = "strict", via: Sequence[str] = MODES, priority: Sequence[str] | None = None, include_warnings: bool = True) -> SplitConstraint:
-    """The constraint of a mode (subject, batch, study, time or composite)."""
+    """The constraint of a mode (subject, batch, study, time or composite).
+
+    Modes that read the graph in several places compute it once (``graph.stored``).
+    """
+    low = str(mode).lower()
+    if low in ("time", "timepoint") or (low == "composite" and strategy == "rule_based"):
+        graph = graph.stored
     if str(mode).lower() == "composite":
         check(strategy in ("strict", "rule_based"), "strategy must be strict or rule_based")
         out = _strict(graph, samples, via) if strategy == "strict" else _rule_based(graph, samples, via, priority)

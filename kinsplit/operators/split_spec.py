@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from typing import Any
 
@@ -40,6 +41,7 @@ def as_split_spec(constraint: SplitConstraint, graph: DependencyGraph | None = N
 
 def _enriched(table: DataFrame, graph: DependencyGraph) -> DataFrame:
     """Missing batch, study and time values, from the graph's direct assignments."""
+    graph = graph.stored
     for mode in ("batch", "study"):
         assigned, _ = direct_assignment(graph, mode)
         table = table.join(assigned.select("sample_node_id", F.col("target_key").alias("_new")), "sample_node_id", "left").withColumn(f"{mode}_group", _filled(f"{mode}_group", "_new")).drop("_new")
@@ -64,12 +66,12 @@ def validate_split_spec(spec: SplitSpec) -> Report:
     """Preflight: is the specification usable as it stands?"""
     data, issues = spec.df, []
 
-    def issue(severity: str, code: str, message: str, n: int = 0) -> None:
-        issues.append((f"split_spec_issue_{len(issues) + 1}", severity, code, message, n))
+    def issue(severity: str, code: str, message: str, n: int = 0, **details: Any) -> None:
+        issues.append((f"split_spec_issue_{len(issues) + 1}", severity, code, message, n, json.dumps(details)))
 
-    lost = [c for c in COLUMNS if c not in data.columns]
+    lost = [c for c in dict.fromkeys(("sample_id", "sample_node_id", spec.group_var)) if c not in data.columns]
     if lost:
-        issue("error", "missing_required_columns", f"Split spec is missing required columns: {', '.join(lost)}")
+        issue("error", "missing_required_columns", f"Split spec is missing required columns: {', '.join(lost)}", len(lost), columns=lost)
     has = lambda c: c is not None and c in data.columns
     counted = {c: F.count_if(~F.coalesce(present(F.col(c)), F.lit(False))).alias(c) for c in {"sample_id", spec.group_var, spec.time_var, *spec.block_vars} if has(c)}
     facts = data.agg(F.count("*").alias("_n"), *counted.values()).first()
@@ -78,7 +80,7 @@ def validate_split_spec(spec: SplitSpec) -> Report:
             issue("error", "missing_sample_id", "Split spec contains missing `sample_id` values.", facts.sample_id)
         ids, n = first_ids(data.groupBy("sample_id").count().filter("count > 1"), "sample_id")
         if ids:
-            issue("error", "duplicate_sample_id", f"Split spec contains duplicated sample IDs: {listing(ids, n)}", n)
+            issue("error", "duplicate_sample_id", f"Split spec contains duplicated sample IDs: {listing(ids, n)}", n, sample_ids=ids)
     if not has(spec.group_var):
         issue("error", "invalid_group_var", f"Declared `group_var` is not present in `sample_data`: {spec.group_var}")
     elif facts[spec.group_var]:
@@ -86,7 +88,7 @@ def validate_split_spec(spec: SplitSpec) -> Report:
     else:
         groups, single = _singletons(data, spec.group_var)
         if groups and groups == single:
-            issue("advisory", "singleton_groups_only", "All split groups are singletons; grouping may provide little protection against structural leakage.", facts._n)
+            issue("advisory", "singleton_groups_only", "All split groups are singletons; grouping may provide little protection against structural leakage.", groups)
     if spec.ordering_required:
         if not has(spec.time_var):
             issue("error", "invalid_time_var", "Ordering is required but the declared `time_var` is missing from `sample_data`.")
@@ -96,9 +98,10 @@ def validate_split_spec(spec: SplitSpec) -> Report:
         if not has(block):
             issue("error", "invalid_block_var", f"Declared block variable is not present in `sample_data`: {block}")
         elif facts[block] == facts._n:
-            issue("warning", "empty_block_var", f"Block variable `{block}` is present but empty for all samples.", facts._n)
-    table = data.sparkSession.createDataFrame(issues, "issue_id string, severity string, code string, message string, n_affected int")
-    groups = data.select(spec.group_var).distinct().count() if has(spec.group_var) else 0
+            issue("warning", "empty_block_var", f"Block variable `{block}` is present but empty for all samples.")
+    rows = data.sparkSession.createDataFrame(issues, "issue_id string, severity string, code string, message string, n_affected int, details string")
+    table = rows.withColumn("details", F.parse_json("details"))
+    groups = data.select(spec.group_var).distinct().count() if has(spec.group_var) else None
     texts = {s: [i[3] for i in issues if i[1] == s] for s in ("error", "warning", "advisory")}
     metrics = {"n_samples": facts._n, "n_groups": groups, "n_issues": len(issues)}
     return Report(not texts["error"], table, metrics, dict(spec.metadata), texts["error"], texts["warning"], texts["advisory"])

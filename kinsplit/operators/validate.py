@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -20,7 +21,7 @@ def _no_ids() -> Column:
     return F.array().cast("array<string>")
 
 
-def _issue(frame: DataFrame, level: str, severity: str, code: str, message: Column | str, nodes: Column | None = None, edges: Column | None = None, order: Column | None = None) -> DataFrame:
+def _issue(frame: DataFrame, level: str, severity: str, code: str, message: Column | str, nodes: Column | None = None, edges: Column | None = None, order: Column | None = None, details: Mapping[str, Any] | None = None) -> DataFrame:
     """One issue for each row of ``frame``."""
     return frame.select(
         (order if order is not None else F.lit("")).cast("string").alias("_order"),
@@ -30,62 +31,72 @@ def _issue(frame: DataFrame, level: str, severity: str, code: str, message: Colu
         (message if isinstance(message, Column) else F.lit(message)).alias("message"),
         (nodes if nodes is not None else _no_ids()).alias("node_ids"),
         (edges if edges is not None else _no_ids()).alias("edge_ids"),
+        F.parse_json(F.lit(json.dumps(details or {}))).alias("details"),
     )
 
 
-def _one(frame: DataFrame, level: str, severity: str, code: str, text: str, nodes: str | None = None, edges: str | None = None, listed: str | None = None) -> DataFrame:
-    """A single issue for all rows of ``frame``, none if it is empty; ids in bytewise order."""
+def _one(frame: DataFrame, level: str, severity: str, code: str, text: str, nodes: str | None = None, edges: str | None = None, listed: str | None = None, more: str | None = None, details: Mapping[str, Any] | None = None) -> DataFrame:
+    """A single issue for all rows of ``frame``, none if it is empty; ids in bytewise order, those of ``more`` after ``nodes``."""
     ids = lambda c: F.array_sort(F.collect_set(c)) if c else _no_ids()
-    gathered = frame.agg(F.count(F.lit(1)).alias("n"), ids(nodes).alias("nodes"), ids(edges).alias("edges"), (joined(F.col(f"`{listed}`").cast("string")) if listed else F.lit("")).alias("list"))
-    return _issue(gathered.filter("n > 0"), level, severity, code, F.concat(F.lit(text), "list"), F.col("nodes"), F.col("edges"))
+    gathered = frame.agg(F.count(F.lit(1)).alias("n"), ids(nodes).alias("nodes"), ids(more).alias("more"), ids(edges).alias("edges"), (joined(F.col(f"`{listed}`").cast("string")) if listed else F.lit("")).alias("list"))
+    return _issue(gathered.filter("n > 0"), level, severity, code, F.concat(F.lit(text), "list"), F.concat("nodes", "more"), F.col("edges"), details=details)
+
+
+def _absent(name: str) -> Column:
+    return ~F.coalesce(present(F.col(name)), F.lit(False))
 
 
 def structural(graph: DependencyGraph) -> list[DataFrame]:
     nodes, edges, level = graph.nodes, graph.edges, "structural"
-    absent = lambda c: ~F.coalesce(present(F.col(c)), F.lit(False))
+    again = edges.groupBy("from", "to", "edge_type").count().filter("count > 1").drop("count")
     out = [
-        _one(nodes.filter(absent("node_id")), level, "error", "missing_node_id", "Node table contains missing or empty `node_id` values."),
+        _one(nodes.filter(_absent("node_id")), level, "error", "missing_node_id", "Node table contains missing or empty `node_id` values."),
         _one(nodes.groupBy("node_id").count().filter("count > 1"), level, "error", "duplicate_node_id", "Node table contains duplicated `node_id` values: ", nodes="node_id", listed="node_id"),
-        _one(edges.filter(absent("edge_id")), level, "error", "missing_edge_id", "Edge table contains missing or empty `edge_id` values."),
+        _one(edges.filter(_absent("edge_id")), level, "error", "missing_edge_id", "Edge table contains missing or empty `edge_id` values."),
         _one(edges.groupBy("edge_id").count().filter("count > 1"), level, "error", "duplicate_edge_id", "Edge table contains duplicated `edge_id` values: ", edges="edge_id", listed="edge_id"),
-        _one(edges.groupBy("from", "to", "edge_type").agg(F.collect_list("edge_id").alias("e")).filter(F.size("e") > 1).select(F.explode("e").alias("edge_id")), level, "error", "duplicate_edge_triplet", "Edge table contains duplicate `(from, to, edge_type)` relations.", edges="edge_id"),
+        _one(edges.join(again, ["from", "to", "edge_type"], "left_semi"), level, "error", "duplicate_edge_triplet", "Edge table contains duplicate `(from, to, edge_type)` relations.", edges="edge_id"),
     ]
     for side, code, word in (("from", "missing_source_node", "source"), ("to", "missing_target_node", "target")):
-        lost = edges.select("edge_id", F.col(side).alias("node_id")).join(nodes, "node_id", "left_anti")
-        out.append(_one(lost, level, "error", code, f"Edges reference missing {word} nodes: ", nodes="node_id", edges="edge_id", listed="node_id"))
-    out.append(_one(nodes.filter(~F.coalesce(F.col("node_type").isin(list(NODE_TYPES)), F.lit(False))), level, "error", "unsupported_node_type", "Unsupported node types found: ", nodes="node_id", listed="node_type"))
+        lost = edges.select(F.col(side).alias("node_id")).join(nodes, "node_id", "left_anti")
+        out.append(_one(lost, level, "error", code, f"Edges reference missing {word} nodes: ", nodes="node_id", listed="node_id"))
+    out.append(_one(nodes.filter(~F.coalesce(F.col("node_type").isin(list(NODE_TYPES)), F.lit(False))), level, "error", "unsupported_node_type", "Unsupported node types found: ", listed="node_type"))
     out.append(_issue(edges.filter(~F.coalesce(F.col("edge_type").isin(list(EDGE_TYPES)), F.lit(False))), level, "error", "unsupported_edge_type", F.concat(F.lit("Unknown edge type encountered: "), F.coalesce("edge_type", F.lit("NA"))), edges=F.array("edge_id"), order=F.col("edge_id")))
     wanted = nodes.sparkSession.createDataFrame([(e.name, e.source, e.target) for e in EDGE_TYPES.values()], "edge_type string, s string, t string")
-    kinds = nodes.select("node_id", "node_type")
+    kinds = nodes.groupBy("node_id").agg(F.min("node_type").alias("node_type"))  # an id listed twice is no second edge
     typed = edges.join(F.broadcast(wanted), "edge_type").join(kinds.select(F.col("node_id").alias("from"), F.col("node_type").alias("fs")), "from", "left").join(kinds.select(F.col("node_id").alias("to"), F.col("node_type").alias("ft")), "to", "left")
     wrong = typed.filter((F.col("fs") != F.col("s")) | (F.col("ft") != F.col("t")))
-    text = F.concat(F.lit("Edge `"), "edge_id", F.lit("` violates schema for `"), "edge_type", F.lit("` (expected "), "s", F.lit(" -> "), "t", F.lit(", found "), "fs", F.lit(" -> "), "ft", F.lit(")."))
+    text = F.concat(F.lit("Edge `"), "edge_id", F.lit("` violates schema for `"), "edge_type", F.lit("` (expected "), "s", F.lit(" -> "), "t", F.lit(", found "), F.coalesce("fs", F.lit("NA")), F.lit(" -> "), F.coalesce("ft", F.lit("NA")), F.lit(")."))
     out.append(_issue(wrong, level, "error", "invalid_edge_signature", text, nodes=F.array("from", "to"), edges=F.array("edge_id"), order=F.col("edge_id")))
     for relation in SINGLE_TARGET:
-        out.append(_one(_several(graph, relation), level, "error", "single_target_violation", f"Edge type `{relation}` links a source node to multiple targets: ", nodes="node_id", listed="node_id"))
+        out.append(_one(_several(graph, relation), level, "error", "single_target_violation", f"Edge type `{relation}` links a source node to multiple targets: ", nodes="from", edges="edge_id", listed="from", details={"edge_type": relation}))
     return out
 
 
 def _several(graph: DependencyGraph, relation: str) -> DataFrame:
-    """Samples with two or more distinct targets of a relation."""
-    return graph.relation(relation).groupBy(F.col("from").alias("node_id")).agg(F.min("to").alias("a"), F.max("to").alias("b")).filter("a <> b")
+    """The edges of a relation from sources with two or more distinct targets."""
+    own = graph.relation(relation)
+    return own.join(own.groupBy("from").agg(F.min("to").alias("a"), F.max("to").alias("b")).filter("a <> b").select("from"), "from", "left_semi")
 
 
 def semantic(graph: DependencyGraph, overrides: Mapping[str, Any]) -> list[DataFrame]:
     level, nodes = "semantic", graph.nodes
-    allowed = F.create_map(*[x for t in NODE_TYPES.values() for x in (F.lit(t.name), F.array(*map(F.lit, (t.key, *t.optional))))])
-    keys = F.json_object_keys(F.to_json("attrs"))
-    unknown = nodes.withColumn("bad", F.array_except(keys, F.try_element_at(allowed, F.col("node_type")))).filter(F.size("bad") > 0)
-    out = [_issue(unknown, level, "warning", "non_canonical_node_attr", F.concat(F.lit("Node `"), "node_id", F.lit("` contains non-canonical attributes: "), F.array_join("bad", ", ")), F.array("node_id"), order=F.col("node_id"))]
+    by_type = lambda names: F.try_element_at(F.create_map(*[x for t in NODE_TYPES.values() for x in (F.lit(t.name), F.array(*map(F.lit, names(t))).cast("array<string>"))]), F.col("node_type"))
+    held = nodes.withColumn("keys", F.coalesce(F.json_object_keys(F.to_json("attrs")), _no_ids()))
+    lacking = held.withColumn("bad", F.array_except(by_type(lambda t: t.required), "keys")).filter(F.size("bad") > 0)
+    unknown = held.withColumn("bad", F.array_except("keys", by_type(lambda t: (t.key, *t.required, *t.optional)))).filter(F.size("bad") > 0)
+    out = [
+        _issue(frame, level, severity, code, F.concat(F.lit("Node `"), "node_id", F.lit(f"` {text}: "), F.array_join("bad", ", ")), F.array("node_id"), order=F.col("node_id"))
+        for frame, severity, code, text in ((lacking, "error", "missing_required_node_attr", "is missing required attributes"), (unknown, "warning", "non_canonical_node_attr", "contains non-canonical attributes"))
+    ]
     samples = graph.of_type("Sample")
     in_study = graph.relation("sample_from_study")
     any_study = nodes.filter("node_type = 'Study'").select("node_id").unionByName(in_study.select(F.col("edge_id").alias("node_id"))).limit(1).agg(F.count("*").alias("some"))
     lone = samples.join(in_study.select(F.col("from").alias("node_id")), "node_id", "left_anti").crossJoin(F.broadcast(any_study)).filter("some > 0")  # one row
-    out.append(_one(lone, level, "warning", "sample_missing_study_assignment", "Samples missing required relation `sample_from_study`: ", nodes="node_id", listed="node_id"))
+    out.append(_one(lone, level, "warning", "sample_missing_study_assignment", "Samples missing required relation `sample_from_study`: ", nodes="node_id", listed="node_id", details={"edge_type": "sample_from_study"}))
     for word, relation in (("subject", "sample_belongs_to_subject"), ("study", "sample_from_study"), ("batch", "sample_processed_in_batch")):
         if word == "subject" and overrides.get("allow_multi_subject_samples") is True:
             continue
-        out.append(_one(_several(graph, relation), level, "error", f"sample_multiple_{word}_assignments", f"Samples violate relation cardinality for `{relation}`: ", nodes="node_id", listed="node_id"))
+        out.append(_one(_several(graph, relation), level, "error", f"sample_multiple_{word}_assignments", f"Samples violate relation cardinality for `{relation}`: ", nodes="from", more="to", edges="edge_id", listed="from", details={"edge_type": relation}))
     for kind, name, values, code in (("FeatureSet", "derivation_scope", DERIVATION_SCOPES, "invalid_featureset_derivation_scope"), ("Outcome", "observation_level", OBSERVATION_LEVELS, "invalid_outcome_observation_level")):
         own = graph.of_type(kind).withColumn("v", attribute_text(name)).filter(F.col("v").isNotNull() & ~F.col("v").isin(list(values)))
         out.append(_issue(own, level, "warning", code, F.concat(F.lit(f"{kind} node `"), "node_id", F.lit(f"` has invalid `{name}`: "), "v"), F.array("node_id"), order=F.col("node_id")))
@@ -98,43 +109,49 @@ def semantic(graph: DependencyGraph, overrides: Mapping[str, Any]) -> list[DataF
             row = spark.createDataFrame([(sorted(set(ends)), edges)], "n array<string>, e array<string>")
             out.append(_issue(row, level, "error", code, text, F.col("n"), F.col("e")))
 
-    fixed("timepoint_self_loop", "`timepoint_precedes` contains self-loops.", [e for e, _ in state.self_loops], [n for _, n in state.self_loops])
+    fixed("timepoint_self_loop", "`timepoint_precedes` contains self-loops.", [e for e, _ in state.self_loops], [])
     if state.cycle:
-        fixed("timepoint_precedence_cycle", "`timepoint_precedes` must define an acyclic ordering.", [e for e, _, _ in state.precedes], [n for e in state.precedes for n in e[1:]])
+        fixed("timepoint_precedence_cycle", "`timepoint_precedes` must define an acyclic ordering.", [e for e, _, _ in state.precedes], [])
     pairs = ", ".join(f"{a} -> {b}" for _, a, b in state.conflicts)
     fixed("time_order_conflict", f"Timepoint ordering metadata conflict between `time_index` and `timepoint_precedes`: {pairs}", [e for e, _, _ in state.conflicts], [n for e in state.conflicts for n in e[1:]])
     return out
 
 
-def _reused(graph: DependencyGraph, relation: str) -> DataFrame:
-    """Targets of a relation with their number of distinct samples, these and the edges."""
-    return graph.relation(relation).groupBy("to").agg(F.count_distinct("from").alias("n"), F.array_sort(F.collect_set("from")).alias("s"), F.array_sort(F.collect_set("edge_id")).alias("e"))
+def _members(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets (column ``to``) with their samples and edges; only these are gathered."""
+    return edges.join(targets.select("to"), "to", "left_semi").groupBy("to").agg(F.array_sort(F.collect_set("from")).alias("s"), F.array_sort(F.collect_set("edge_id")).alias("e"))
+
+
+def _shared(edges: DataFrame) -> DataFrame:
+    """Targets of two samples or more."""
+    return _members(edges, edges.groupBy("to").agg(F.min("from").alias("a"), F.max("from").alias("b")).filter("a <> b"))
 
 
 def leakage(graph: DependencyGraph) -> list[DataFrame]:
     level = "leakage"
 
-    def shared(frame: DataFrame, severity: str, code: str, kind: str, text: str) -> DataFrame:
-        return _issue(frame, level, severity, code, F.concat(F.lit(f"{kind} `"), "to", F.lit(f"` {text}")), F.concat(F.array("to"), F.col("s")), F.col("e"), order=F.col("to"))
+    def found(frame: DataFrame, severity: str, code: str, kind: str, text: str, nodes: Column, edges: Column | None = None) -> DataFrame:
+        return _issue(frame, level, severity, code, F.concat(F.lit(f"{kind} `"), "to", F.lit(f"` {text}")), nodes, edges, order=F.col("to"))
 
+    whole = F.concat(F.array("to"), F.col("s"))
     subjects, studies = graph.relation("sample_belongs_to_subject"), graph.relation("sample_from_study")
-    both = subjects.select("from", F.col("to").alias("subject"), F.col("edge_id").alias("e1")).join(studies.select("from", F.col("to").alias("study"), F.col("edge_id").alias("e2")), "from")
-    crossing = both.groupBy(F.col("subject").alias("to")).agg(F.count_distinct("study").alias("n"), F.array_sort(F.collect_set("study")).alias("s"), F.array_sort(F.array_union(F.collect_set("e1"), F.collect_set("e2"))).alias("e")).filter("n > 1")
+    both = subjects.select("from", "to").join(studies.select("from", F.col("to").alias("study")), "from").select("from", "to", "study")
+    crossing = both.groupBy("to").agg(F.min("study").alias("a"), F.max("study").alias("b")).filter("a <> b")
     per_dataset = graph.of_type("FeatureSet").filter(attribute_text("derivation_scope") == "per_dataset").select(F.col("node_id").alias("to"))
-    out = [
-        shared(_reused(graph, "sample_belongs_to_subject").filter("n > 1"), "advisory", "repeated_subject_samples", "Subject", "is linked to multiple samples."),
-        shared(crossing, "warning", "subject_cross_study_overlap", "Subject", "appears across multiple studies."),
-        _issue(per_dataset, level, "advisory", "per_dataset_featureset", F.concat(F.lit("FeatureSet `"), "to", F.lit("` was derived at the full-dataset scope.")), F.array("to"), order=F.col("to")),
-        shared(_reused(graph, "sample_uses_featureset").filter("n > 1"), "advisory", "shared_featureset_provenance", "FeatureSet", "is shared across multiple samples."),
-    ]
+    batches = graph.relation("sample_processed_in_batch")
+    total = graph.of_type("Sample").agg(F.greatest(F.lit(3), F.ceil(F.count("*") * 0.5)).alias("limit"))
+    heavy = batches.groupBy("to").agg(F.count_distinct("from").alias("n")).crossJoin(F.broadcast(total)).filter(F.col("n") >= F.col("limit"))  # one row
     facts = graph.edges.agg(F.count_if(F.col("edge_type") == "sample_collected_at_timepoint").alias("linked"), F.count_if(F.col("edge_type") == "timepoint_precedes").alias("ordered"))
     indexed = graph.of_type("Timepoint").agg(F.count_if(attribute_text("time_index").isNotNull()).alias("indexed"))
     none = facts.crossJoin(indexed).filter("linked > 0 and ordered = 0 and indexed = 0")  # one row each
-    out.append(_issue(none, level, "warning", "missing_time_ordering", "Timepoint-linked samples exist but no explicit time ordering metadata were found."))
-    total = graph.of_type("Sample").agg(F.greatest(F.lit(3), F.ceil(F.count("*") * 0.5)).alias("limit"))
-    heavy = _reused(graph, "sample_processed_in_batch").crossJoin(F.broadcast(total)).filter(F.col("n") >= F.col("limit"))  # one row
-    out.append(shared(heavy, "advisory", "heavy_batch_reuse", "Batch", "is reused across many samples."))
-    return out
+    return [
+        found(_shared(subjects), "advisory", "repeated_subject_samples", "Subject", "is linked to multiple samples.", whole, F.col("e")),
+        found(_members(both.withColumn("edge_id", F.lit("")), crossing), "warning", "subject_cross_study_overlap", "Subject", "appears across multiple studies.", whole),
+        found(per_dataset, "advisory", "per_dataset_featureset", "FeatureSet", "was derived at the full-dataset scope.", F.array("to")),
+        found(_shared(graph.relation("sample_uses_featureset")), "advisory", "shared_featureset_provenance", "FeatureSet", "is shared across multiple samples.", whole, F.col("e")),
+        _issue(none, level, "warning", "missing_time_ordering", "Timepoint-linked samples exist but no explicit time ordering metadata were found."),
+        found(_members(batches, heavy), "advisory", "heavy_batch_reuse", "Batch", "is reused across many samples.", F.array("to"), F.col("e")),
+    ]
 
 
 _OLD_CHECKS = {"ids": ("structural",), "references": ("structural",), "cardinality": ("structural", "semantic"), "schema": ("semantic",), "time": ("semantic",)}
@@ -158,6 +175,7 @@ def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None,
     for given, known in ((levels, LEVELS), (severities, SEVERITIES)):
         for x in given:
             check(x in known, f"Unsupported validation level or severity: {x}")
+    graph = graph.stored  # each rule reads it
     overrides = graph.metadata.get("validation_overrides", {}) | dict(validation_overrides or {})
     makers = {"structural": lambda: structural(graph), "semantic": lambda: semantic(graph, overrides), "leakage": lambda: leakage(graph)}
     rules = [frame for lv in LEVELS if lv in levels for frame in makers[lv]()]
@@ -167,7 +185,7 @@ def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None,
     from kinsplit.plans.numbering import numbered
 
     named = numbered(every, ["_rule", "_order", "message"], "_number") if not every.isEmpty() else every.withColumn("_number", F.lit(0).cast("long"))
-    table = named.select(F.concat(F.lit("issue_"), F.col("_number").cast("string")).alias("issue_id"), "level", "severity", "code", "message", "node_ids", "edge_ids")
+    table = named.select(F.concat(F.lit("issue_"), F.col("_number").cast("string")).alias("issue_id"), "level", "severity", "code", "message", "node_ids", "edge_ids", "details")
     n = every.groupBy("severity").agg(F.count("*").alias("rows"), F.count_distinct("message").alias("texts")).collect()
     by = {r.severity: r for r in n}
     texts = {s: [r.message for r in every.filter(F.col("severity") == s).select("message").distinct().orderBy("message").limit(MESSAGES).collect()] if s in by else [] for s in SEVERITIES}

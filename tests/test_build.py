@@ -4,6 +4,7 @@ from fixtures import F1, graph, rows, table
 from kinsplit.functions.schema import EDGE_TYPES, NODE_TYPES, SCHEMA_VERSION, DepGraphError
 from kinsplit.operators import aliases
 from kinsplit.operators.build import build_dependency_graph, graph_edge_set, graph_from_metadata, graph_node_set
+from kinsplit.operators.constraints import derive_split_constraints
 from kinsplit.sources.metadata import create_edges, create_nodes, ingest_metadata
 
 QUICK = [("S1", "P1", "B1", "T0", 0.0, "ctrl"), ("S2", "P1", "B2", "T1", 1.0, "case"), ("S3", "P2", "B1", "T0", 0.0, "ctrl"), ("S4", "P2", "B2", "T1", 1.0, "case"), ("S5", "P3", "B1", "T0", 0.0, "case"), ("S6", "P3", "B2", "T1", 1.0, "ctrl")]
@@ -23,6 +24,9 @@ def test_ingest_renames_and_casts(spark):
     assert out.first().asDict() == {"sample_id": "1", "subject_id": "100000", "x": 2.5}
     with pytest.raises(DepGraphError):
         ingest_metadata(data)
+    values = {12345678.5: "12345678.5", 1e16: "10000000000000000", 0.0001: "0.0001", -2.50: "-2.5", 1e20: "100000000000000000000", 1.5e-7: "0.00000015", 0.0: "0", 100.0: "100", 1e300: "1.0E300", 1e-50: "1.0E-50"}
+    keys = ingest_metadata(spark.createDataFrame([(v, v) for v in [*values, None]], "x double, sample_id double"))
+    assert {r.x: r.sample_id for r in keys.collect()} == values | {None: None}
 
 
 def test_quick_start_counts(spark):
@@ -92,6 +96,17 @@ def test_raw_sets(spark):
         graph_edge_set(table(spark, [("e", "a", "b", "r", "x")], ["edge_id", "from", "to", "edge_type", "attrs"]))
 
 
+def test_rows_in_a_given_order(spark):
+    meta = spark.createDataFrame([("S1", "P9", 1), ("S1", "P1", 2), ("S0", "P1", 3)], "sample_id string, subject_id string, line int")
+    nodes = [create_nodes(meta, "Sample", "sample_id", attr_cols=[]), create_nodes(meta, "Subject", "subject_id")]
+    edges = create_edges(meta, "sample_id", "subject_id", "Sample", "Subject", "sample_belongs_to_subject", order_by=["line"])
+    assert rows(edges.df, "edge_id", "from", "to")[:2] == [("sample_belongs_to_subject:1", "sample:S1", "subject:P9"), ("sample_belongs_to_subject:2", "sample:S1", "subject:P1")]
+    g = build_dependency_graph(nodes, edges, validate=False, validation_overrides={"allow_multi_subject_samples": True})
+    c = derive_split_constraints(g, "subject")
+    assert rows(c.df, "sample_id", "group_id") == [("S0", "subject:P1"), ("S1", "subject:P9")]
+    assert c.warnings == ["Samples linked to multiple subjects were assigned to their first listed subject (allow_multi_subject_samples override): S1"]
+
+
 def test_aliases_warn(spark):
     raw = table(spark, [("a", "Sample", "a")], ["node_id", "node_type", "node_key"])
     with pytest.warns(DeprecationWarning):

@@ -109,7 +109,17 @@ def test_graph_round_trips(spark, g, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps(data))
     with pytest.warns(UserWarning, match="schema version"):
         io.read_dependency_graph(spark, str(tmp_path / "v.json"))
+    for attrs, message in ((["x"], "named lists"), ("x", "named lists")):
+        (tmp_path / "a.json").write_text(json.dumps({**data, "schema_version": "0.1.0", "nodes": [{**data["nodes"][0], "attrs": attrs}]}))
+        with pytest.raises(DepGraphError, match=message):
+            io.read_dependency_graph(spark, str(tmp_path / "a.json"))
+    (tmp_path / "r.json").write_text(open(path).read().replace('"attrs": {}', '"attrs": {"x": 1, "x": 2}', 1))
+    with pytest.raises(DepGraphError, match="Repeated names"):
+        io.read_dependency_graph(spark, str(tmp_path / "r.json"))
+    g.metadata["validation_overrides"] = {"allow_multi_subject_samples": True}
     io.write_graph_parquet(g, str(tmp_path / "g"))
+    kept = io.read_graph_parquet(spark, str(tmp_path / "g"), {"dataset_name": "other"}).metadata
+    assert kept["validation_overrides"] == {"allow_multi_subject_samples": True} and kept["created_at"] == g.metadata["created_at"] and kept["dataset_name"] == "other"
     assert rows(io.read_graph_parquet(spark, str(tmp_path / "g")).edges, "edge_id") == rows(g.edges, "edge_id")
 
 

@@ -1,7 +1,9 @@
 import pytest
 from fixtures import graph, rows, table
 
-from kinsplit.functions.schema import DepGraphError
+from dataclasses import replace
+
+from kinsplit.functions.schema import NODE_TYPES, DepGraphError
 from kinsplit.operators.build import dependency_graph, graph_edge_set, graph_node_set
 from kinsplit.operators.validate import validate_graph
 from kinsplit.streaming.ingest import stream_edges, stream_nodes
@@ -89,3 +91,20 @@ def test_messages_left_out_are_counted(spark, monkeypatch):
     edges = [("e1", "sample:S1", "subject:P1", "sample_belongs_to_subject"), ("e2", "sample:S1", "batch:B1", "sample_processed_in_batch")] * 2
     report = validate_graph(raw(spark, [S, P, B], edges))
     assert len(report.errors) == 2 and report.errors[1] == f"... and {report.metrics['n_errors'] - 1} more"
+
+
+def test_required_attributes(spark, monkeypatch):
+    monkeypatch.setitem(NODE_TYPES, "Assay", replace(NODE_TYPES["Assay"], required=("modality", "platform")))
+    report = validate_graph(raw(spark, [S, ("assay:A1", "Assay", {"modality": "x"}), ("assay:A2", "Assay", {"modality": "x", "platform": "y"})], []), levels=["semantic"])
+    assert [(r.code, r.severity, r.message) for r in report.df.collect()] == [("missing_required_node_attr", "error", "Node `assay:A1` is missing required attributes: platform")]
+
+
+def test_what_issues_name(spark):
+    studies = [("study:A", "Study", {}), ("study:B", "Study", {}), ("sample:S2", "Sample", {})]
+    edges = [("e1", "sample:S1", "study:A", "sample_from_study"), ("e2", "sample:S1", "study:B", "sample_from_study"), ("e3", "sample:S2", "study:A", "sample_from_study"), ("e4", "sample:S1", "subject:P1", "sample_belongs_to_subject")]
+    g = raw(spark, [S, P, *studies], edges)
+    found = validate_graph(g).df.selectExpr("code", "node_ids", "edge_ids", "to_json(details) details").collect()
+    assert {r.code: (r.node_ids, r.edge_ids, r.details) for r in found} == {
+        "sample_multiple_study_assignments": (["sample:S1", "study:A", "study:B"], ["e1", "e2"], '{"edge_type":"sample_from_study"}'),
+        "subject_cross_study_overlap": (["subject:P1", "sample:S1"], [], "{}"),
+    }
