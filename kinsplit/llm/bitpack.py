@@ -10,7 +10,9 @@ in any store and survives lost executors.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -22,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinsplit.llm import worker
 from kinsplit.plans.scratch import stored
 
 MAGIC, BLOCK, FILE_IDS, END_ID = b"KBP1", 4096, 1 << 20, 1
-CACHE_WORDS = 1_000_000
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which begins contractions
+CACHE_BYTES = 128 << 20
 _HEAD = struct.Struct("<4sBIQII")  # magic, bits, block size, ids, blocks, documents
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "?"), ("start", "<i8"), ("n", "<i8")])
 
@@ -95,17 +97,36 @@ class Reader:
         return own[start - first * self.block : stop - first * self.block]
 
 
+#: The rules of a tokenizer file under which a text may be encoded word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# Latin letters that are their own NFC and lower to one letter, digits, and signs but the apostrophe, which begins contractions.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
+_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
+#: Byte-level vocabularies write a byte as the character of its number where that prints, the others from 256 on.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+
+
 class WordCodec:
-    """Ids of texts by the tokenizers library, one call for each distinct word.
+    """Ids of texts by the tokenizers library, asked once for each word as long as a cache holds it.
 
-    Splitting at ASCII white space is safe for a tokenizer that drops white space before
-    its merges: no token spans it. Nor does one span a letter and the signs after it, so
-    these are split off; ASCII words are asked for in lower case, as the tokenizer lowers
-    them anyway. The caches are emptied at ``CACHE_WORDS`` entries.
+    Under ``NORMALIZER`` and ``SPLITTER`` no token spans ASCII white space, nor a run of
+    letters, a digit and a run of signs that meet; so texts are split there, and the model
+    is asked for the pieces of words that are plain. Other words, as those with an
+    apostrophe or with the string of an added token, are encoded whole. With other rules
+    every text is.
 
     With ``literal`` the strings of special tokens in a text are ordinary text; without
-    it they are these tokens, as by the library's default, and words that hold such a
-    string are asked for whole.
+    it they are these tokens, as by the library's default.
     """
 
     def __init__(self, path: str, literal: bool = True):
@@ -114,67 +135,68 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
-        self.added = [] if literal else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        added = [t["content"].lower() for t in rules.get("added_tokens") or []]
+        model = rules["model"]
+        self.by_word = (
+            (rules["normalizer"], rules["pre_tokenizer"], model["type"], model.get("dropout")) == (NORMALIZER, SPLITTER, "BPE", None)
+            and all(_PLAIN.fullmatch(t) for t in added)
+            and not any(t[k] for t in rules.get("added_tokens") or [] for k in ("normalized", "single_word", "lstrip", "rstrip"))
+        )
+        self.added = [] if literal else added
+        self.model = self.tokenizer.model
         self.bits = width(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.cache: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        pairs = []
-        for w in new:
-            s = w.decode()
-            if self.added and any(t in s.lower() for t in self.added):
-                pairs.append((s, ""))
-                continue
-            core = s.rstrip(SIGNS)
-            tail = s[len(core) :]
-            if not tail or not core or not core[-1].isalpha():
-                core, tail = s, ""
-            pairs.append((core.lower() if core.isascii() else core, tail))
-        asked = list({part for pair in pairs for part in pair}.difference(self.cores))
-        for at in range(0, len(asked), 20_000):
-            some = asked[at : at + 20_000]
-            for core, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.cores[core] = array("I", e.ids).tobytes()
-        for w, (core, tail) in zip(new, pairs):
-            self.cache[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+        self.words = worker.Cache(CACHE_BYTES)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isalpha() and text.isascii():
+            ids = self._piece(text.lower())
+        elif not _PLAIN.fullmatch(text) or self.added and any(t in text.lower() for t in self.added):
+            ids = self._whole(text)
+        else:
+            ids = b"".join([self._piece(p.lower()) for p in _PIECES.findall(text)])
+        return self.words.keep(word, ids)
 
     def encode(self, texts) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = set().union(*split).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            self.cores.clear()
-            new = set().union(*split)
-        self._learn(list(new))
-        get, end = self.cache.__getitem__, array("I", [END_ID]).tobytes()
-        return [np.frombuffer(b"".join(map(get, own)) + end, "<u4") for own in split]
-
-
-_CODECS: dict[str, WordCodec] = {}
+        get, word, end = self.words.get, self._word, array("I", [END_ID]).tobytes()
+        out = []
+        for text in texts:
+            raw = (text or "").encode("utf-8", "replace")
+            ids = b"".join([get(w) or word(w) for w in raw.split()]) if self.by_word else self._whole(raw.decode())
+            out.append(np.frombuffer(ids + end, "<u4"))
+        return out
 
 
 def _codec(path: str) -> WordCodec:
-    if path not in _CODECS:
-        _CODECS[path] = WordCodec(path, literal=False)
-    return _CODECS[path]
+    return worker.held(path, lambda: WordCodec(path, literal=False))
 
 
 def to_files(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Rows (shard, piece, n_ids, data): packed files in ascending doc_id order.
+    """Rows (shard, piece, before, n_ids, data): packed files in ascending doc_id order.
 
     Texts are dealt by ranges of (doc_id, hash of the text), so that repeated ids split
-    too, and sorted within; a null text is empty, a null id comes first.
+    too, and sorted within; a null text is empty, a null id comes first. ``before`` counts
+    the ids of a shard's earlier files.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec, shard, piece = _codec(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, np.ndarray]] = []
-        size = 0
+        size = before = 0
 
         def file() -> pd.DataFrame:
-            return pd.DataFrame([(shard, piece, size, write_file(held, codec.bits))], columns=["shard", "piece", "n_ids", "data"])
+            return pd.DataFrame([(shard, piece, before, size, write_file(held, codec.bits))], columns=["shard", "piece", "before", "n_ids", "data"])
 
         for part in batches:
             for at in range(0, len(part), 500):
@@ -184,31 +206,31 @@ def to_files(docs: DataFrame, tokenizer: str) -> DataFrame:
                     size += len(ids)
                     if size >= FILE_IDS:
                         yield file()
-                        held, size, piece = [], 0, piece + 1
+                        held, size, before, piece = [], 0, before + size, piece + 1
         if held:
             yield file()
 
     # Ids above 2**53 would not survive pandas' floats, which columns with nulls become.
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     dealt = keyed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
-    return dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(write, "shard int, piece int, n_ids long, data binary")
+    return dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(write, "shard int, piece int, before long, n_ids long, data binary")
 
 
 def from_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of its ids for every document in the files."""
-    order = Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    # One small row for each file, so one for each million ids: bounded enough to broadcast.
-    before = files.select("shard", "piece", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).select("shard", "piece", "before")
+    # One row for each partition that was written, whatever its number of files.
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    first = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            for shard, piece, data in zip(part.shard, part.piece, part.data):
+            for shard, before, data in zip(part.shard, part.before, part.data):
                 own = Reader(data)
-                rows = [(shard, piece, None if d["null"] else str(d["doc_id"]), int(d["start"]), int(d["n"]), zlib.crc32(own.ids(int(d["start"]), int(d["n"])).astype("<u4").tobytes())) for d in own.docs]
-                yield pd.DataFrame(rows, columns=["shard", "piece", "doc_id", "start", "n_tokens", "ids_crc32"])
+                rows = [(shard, None if d["null"] else str(d["doc_id"]), before + int(d["start"]), int(d["n"]), zlib.crc32(own.ids(int(d["start"]), int(d["n"])).astype("<u4").tobytes())) for d in own.docs]
+                yield pd.DataFrame(rows, columns=["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    found = files.select("shard", "piece", "data").mapInPandas(read, "shard int, piece int, doc_id string, start long, n_tokens long, ids_crc32 long")
-    return found.join(F.broadcast(before), ["shard", "piece"]).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    found = files.select("shard", "before", "data").mapInPandas(read, "shard int, doc_id string, start long, n_tokens long, ids_crc32 long")
+    return found.join(F.broadcast(first), "shard").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8(docs: DataFrame, tokenizer: str) -> DataFrame:
