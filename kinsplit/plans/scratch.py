@@ -21,8 +21,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/kinsplit-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write to a shared table and read it again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Write to a shared table and read it again: cuts lineage, survives lost executors.
+
+    ``options`` are those of the Parquet writer, as ``compression``.
+    """
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
