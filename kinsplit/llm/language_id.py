@@ -5,6 +5,10 @@ a bag of words drawn from an unknown mix of languages: EM finds the shares under
 its words' n-gram likelihoods are highest. The set of languages is then chosen by
 penalised likelihood (BIC): the language of the smallest share goes as long as that
 improves the criterion. The answer is the set's largest share, which is its score.
+
+The likelihood is concave in the shares, so its slopes where one language has all of
+them bound what any mixture can gain. Where that is less than the penalty of a second
+language, as in most texts, the one language is the best set and EM is not needed.
 """
 
 from __future__ import annotations
@@ -15,15 +19,16 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsplit.llm.util import fold
+from kinsplit.llm.worker import CACHE_BYTES, held
 
 BUCKETS, N = 1 << 16, 3
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 800, 20_000
+SAMPLE_PER_LANGUAGE = 800
 ROUNDS, SMOOTH = 12, 0.2
-CACHE_WORDS = 1_000_000
+_WORD_BYTES = 200  # of a word that is kept, without its likelihoods
 UNDETERMINED = "und"
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 
@@ -47,12 +52,21 @@ def shares(likelihood: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(np.log(likelihood @ share).sum())
 
 
+def alone(likelihood: np.ndarray, one: int, penalty: float) -> bool:
+    """Whether no mixture can be likelier than column ``one`` by a penalty or more."""
+    slopes = (likelihood / likelihood[:, one : one + 1]).sum(0) - len(likelihood)
+    return bool(slopes.max() < penalty)
+
+
 def mixture(log_likelihood: np.ndarray) -> np.ndarray:
     """Shares of all languages for words x languages; 0 outside the chosen set."""
     likelihood = np.exp(np.maximum(log_likelihood - log_likelihood.max(1, keepdims=True), -30))
+    penalty = 0.5 * np.log(len(likelihood) + 1)
+    one = int(log_likelihood.sum(0).argmax())
+    if alone(likelihood, one, penalty):
+        return np.eye(likelihood.shape[1])[one]
     chosen = np.arange(likelihood.shape[1])
     share, fit = shares(likelihood)
-    penalty = 0.5 * np.log(len(likelihood) + 1)
     while len(chosen) > 1:
         fewer = np.delete(chosen, share.argmin())
         own, other = shares(likelihood[:, fewer])
@@ -71,35 +85,35 @@ class Model:
         self.languages, self.table = languages, table
 
     def predictor(self):
-        """A function from texts to (language, share) pairs, with a cache of words of fixed size."""
+        """A function from texts to (language, share) pairs; the words it keeps are bounded by bytes."""
         known: dict[str, int] = {}
+        most = CACHE_BYTES // (_WORD_BYTES + 8 * len(self.languages))
         rows = np.zeros((1024, len(self.languages)))
-
-        def index(word: str) -> int:
-            nonlocal rows
-            k = known.get(word)
-            if k is None:
-                ids = trigrams(word)
-                if not ids:
-                    k = known[word] = -1
-                    return k
-                k = index.used
-                if k == len(rows):
-                    rows = np.concatenate([rows, np.zeros_like(rows)])
-                rows[k] = self.table[ids].sum(0)
-                index.used, known[word] = k + 1, k
-            return k
-
-        index.used = 0
+        used = 0
+
+        def learn(word: str) -> None:
+            nonlocal rows, used
+            ids = trigrams(word)
+            if not ids:
+                known[word] = -1
+                return
+            if used == len(rows):
+                rows = np.concatenate([rows, np.zeros_like(rows)])
+            rows[used] = self.table[ids].sum(0)
+            known[word] = used
+            used += 1
 
         def predict(texts) -> list[tuple[str, float]]:
-            nonlocal rows
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                index.used, rows = 0, np.zeros((1024, len(self.languages)))
+            nonlocal rows, used
             out = []
             for text in texts:
-                at = np.fromiter(map(index, (text or "").lower().split()), np.int64)
+                if len(known) > most:
+                    known.clear()
+                    rows, used = np.zeros((1024, len(self.languages))), 0
+                words = (text or "").lower().split()
+                for word in set(words).difference(known):
+                    learn(word)
+                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 at = at[at >= 0]
                 if not len(at) or not self.languages:
                     out.append((UNDETERMINED, 0.0))
@@ -132,29 +146,33 @@ def train(sample: list[tuple[str, str]]) -> Model:
 
 
 def fit_on(docs: DataFrame) -> Model:
-    """Learn from at most ``SAMPLE_PER_LANGUAGE`` texts of each language.
+    """Learn from at most ``SAMPLE_PER_LANGUAGE`` texts, of any length, of each language.
 
-    Only rows with a language, with crc32(doc_id) mod 3 not 1, and of at most
-    ``SAMPLE_CHARS`` characters; of these the ones with the smallest id hashes.
+    Only rows with a language and with crc32(doc_id) mod 3 not 1; of these the ones with the
+    smallest id hashes. Repeated rows count once; ids of several texts in one language are
+    skipped, as are null texts.
     """
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    picked = ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_PER_LANGUAGE).select("doc_id", "lang", "h")
-    # The rows wanted are bounded by a parameter for each language, so the broadcast is.
-    found = docs.select("doc_id", "lang", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).select("h", "lang", "text").collect()
-    return train([(r.text, r.lang) for r in sorted(found, key=lambda r: (r.h, r.lang, r.text))])
-
-
-_PREDICTORS: dict[str, object] = {}
+    scale = 1 << 31
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 3) != 1)).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(scale)).alias("h"))
+    # Hashes are even, so four times the share wanted holds the rows wanted; no task sees all rows of a language.
+    counted = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()  # a row for each language
+    if not counted:
+        return train([])
+    below = F.create_map(*[F.lit(x) for r in counted for x in (r.lang, min(scale, 4 * SAMPLE_PER_LANGUAGE * scale // max(1, r.n)))])
+    near = usable.filter(F.col("h") < F.try_element_at(below, F.col("lang"))).distinct().collect()
+    picked = []
+    for r in counted:
+        own = sorted((x.h, x.doc_id) for x in near if x.lang == r.lang)[:SAMPLE_PER_LANGUAGE]
+        picked += [(doc_id, r.lang, h) for h, doc_id in own]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, lang string, h long"))  # bounded for each language
+    found = docs.select("doc_id", "lang", "text").join(wanted, ["doc_id", "lang"]).groupBy("h", "doc_id", "lang").agg(F.min("text").alias("text"), F.max("text").alias("other")).filter("text = other").select("h", "doc_id", "lang", "text").collect()
+    return train([(r.text, r.lang) for r in sorted(found, key=lambda r: (r.h, r.doc_id, r.lang))])
 
 
 def _predictor(shared):
     """One predictor, with its cache, for all tasks that a Python worker runs on one model."""
     languages, table, name = shared.value
-    if name not in _PREDICTORS:
-        _PREDICTORS.clear()
-        _PREDICTORS[name] = Model(languages, table).predictor()
-    return _PREDICTORS[name]
+    return held(name, lambda: Model(languages, table).predictor())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -176,5 +194,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of ``docs``.
+
+    A null doc_id is in no fold; repeated rows stay; of equal shares the first language by
+    name is taken; other columns than doc_id, text and lang are not read; an empty table
+    has no row.
+    """
     found = predict(docs.select("doc_id", "text"), fit_on(docs))
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
