@@ -10,16 +10,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id is in fold -1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts of at most ``max_chars`` characters, to fit a model on.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int) -> list[tuple[str, int]]:
+    """At most ``rows`` labelled texts, of any length, to fit a model on.
 
     The rows with the smallest hash of the id are taken, so the sample is the same at
-    any partitioning. Ids with contradicting labels and null texts or labels are skipped.
+    any partitioning. Ids with contradicting labels and null texts or labels are skipped,
+    as are ids of several texts: their label names no one of them.
     """
     picked = (
         labels.filter(keep & F.col(label).isNotNull())
@@ -30,7 +39,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .orderBy("h", "doc_id")
         .limit(rows)
     )
-    # ``rows`` bounds the broadcast side: it is a parameter, not a share of the corpus.
-    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(picked), "doc_id").select("h", "doc_id", "text", "y").collect()
-    found.sort(key=lambda r: (r.h, r.doc_id, r.text))
-    return [(r.text, r.y) for r in found[:rows]]
+    # ``rows`` bounds the broadcast side and, as one text stays for each id, what is collected.
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("h", "doc_id", "y").agg(F.min("text").alias("text"), F.max("text").alias("other")).filter("text = other").drop("other").collect()
+    return [(r.text, r.y) for r in sorted(found, key=lambda r: (r.h, r.doc_id))]
