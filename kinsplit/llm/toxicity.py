@@ -1,11 +1,13 @@
 """Toxicity scores from averaged subword embeddings and a linear softmax.
 
 A word is a bag of hashed character n-grams (with its ends marked), its vector the
-mean of their embeddings. A window of ``WINDOW`` words is the mean of its words, and
-a linear softmax turns it into two classes. Embeddings and softmax are trained
-together by gradient descent in numpy. A document is as toxic as its worst window, so
-a short insult in a long text is not averaged away; in training, a document's label is
-carried by that window. Misspellings never seen share most n-grams with known words.
+mean of their embeddings. A span of words is the mean of its words, and a linear softmax
+turns it into two classes. Embeddings and softmax are trained together by gradient
+descent in numpy: first on averages over whole documents, then on each document's worst
+span of ``SPANS`` words in turn, which carries its label, so that a short insult in a
+long text is not averaged away. A document's score combines its worst span of each
+length with its whole average by a logistic regression on texts held back. Misspellings
+never seen share most n-grams with known words.
 
 Scoring keeps one number per n-gram bucket (embedding times the difference of the two
 softmax rows), so a model is ``BUCKETS`` floats whatever the corpus.
@@ -24,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsplit.llm.util import fold, labelled_sample
+from kinsplit.llm.worker import Cache, held
 
-BUCKETS, DIM, WINDOW = 1 << 17, 8, 1
+BUCKETS, DIM = 1 << 17, 8
+#: Lengths of the spans of words that are averaged, besides the whole document.
+SPANS = (1, 4)
 NGRAMS = (3, 4, 5)
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
+SAMPLE_ROWS = 3000
 WARM_UP, EPOCHS = 4, 40
 THRESHOLD = 0.7
-CACHE_WORDS = 1_000_000
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
 
 
@@ -41,35 +45,53 @@ def words(text: str) -> list[str]:
 def subwords(word: str) -> list[int]:
     """Bucket ids of the character n-grams of a word without its outer punctuation."""
     word = f"<{word.strip(EDGE)}>"
-    if len(word) == 2:
+    size = len(word)
+    if size == 2:
         return []
-    grams = [word[i : i + n] for n in NGRAMS for i in range(len(word) - n + 1)]
-    if len(word) > NGRAMS[-1]:
-        grams.append(word)
-    return [crc32(g.encode()) % BUCKETS for g in grams]
-
-
-def _worst(word_scores: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Highest mean over ``WINDOW`` neighbours per document, and where that window starts.
-
-    ``starts``: first word of each document; every document has a word. Windows end at
-    the document's end, so shorter documents are one window.
+    if word.isascii():  # a byte is a character
+        raw = word.encode()
+        ids = [crc32(raw[i : i + n]) % BUCKETS for n in NGRAMS for i in range(size - n + 1)]
+    else:
+        raw = word.encode("utf-8", "replace")
+        ids = [crc32(word[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in NGRAMS for i in range(size - n + 1)]
+    if size > NGRAMS[-1]:
+        ids.append(crc32(raw) % BUCKETS)
+    return ids
+
+
+def _worst(word_scores: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Highest mean over ``span`` neighbours per document, and where the first such span starts.
+
+    ``starts``: first word of each document; every document has a word. A shorter document
+    is one span.
     """
     n = len(word_scores)
     ends = np.append(starts[1:], n)
-    last = np.repeat(ends, ends - starts)
-    stop = np.minimum(np.arange(n) + WINDOW, last)
+    first = np.repeat(starts, ends - starts)
+    begin = np.maximum(first, np.arange(n) - span + 1)  # of the span that ends here
     sums = np.concatenate(([0.0], np.cumsum(word_scores)))
-    mean = (sums[stop] - sums[:-1]) / (stop - np.arange(n))
+    mean = (sums[1:] - sums[begin]) / (np.arange(n) + 1 - begin)
+    whole = np.minimum(span, ends - starts)
+    mean[np.arange(n) - first + 1 < np.repeat(whole, ends - starts)] = -np.inf
     best = np.maximum.reduceat(mean, starts)
     at = np.flatnonzero(mean == np.repeat(best, ends - starts))
     doc = np.searchsorted(starts, at, "right") - 1
-    first = np.unique(doc, return_index=True)[1]
-    return best, at[first]
+    return best, begin[at[np.unique(doc, return_index=True)[1]]]
+
+
+def _worst_of(scores: list[float], span: int) -> float:
+    """The highest mean over ``span`` neighbours of one document's words."""
+    if span == 1:
+        return max(scores)
+    if len(scores) <= span:
+        return sum(scores) / len(scores)
+    sums = np.cumsum([0.0, *scores])
+    return float((sums[span:] - sums[:-span]).max()) / span
 
 
 class Model:
-    """``bucket``: logit of each n-gram bucket; ``calibration``: weights of (1, worst window, log words)."""
+    """``bucket``: logit of each n-gram bucket; ``calibration``: weights of 1, the worst span of each
+    length, the whole average and the logarithm of the number of words."""
 
     def __init__(self, bucket: np.ndarray, calibration: np.ndarray):
         self.bucket, self.calibration = bucket, calibration
@@ -79,29 +101,23 @@ class Model:
         return float(self.bucket[ids].mean()) if ids else 0.0
 
     def scorer(self):
-        """A function from a list of texts to scores; it caches word scores up to a fixed number."""
-        cache, bucket = {}, self.bucket.tolist()
+        """A function from a list of texts to scores; it keeps word scores in a bounded cache."""
+        cache, bucket = Cache(), self.bucket.tolist()
 
         def lookup(word: str) -> float:
-            s = cache.get(word)
-            if s is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                ids = subwords(word)
-                s = cache[word] = sum(map(bucket.__getitem__, ids)) / len(ids) if ids else 0.0
-            return s
+            ids = subwords(word)
+            return cache.keep(word, sum(map(bucket.__getitem__, ids)) / len(ids) if ids else 0.0)
 
         def score(texts) -> np.ndarray:
-            top, size = np.zeros(len(texts)), np.zeros(len(texts))
-            for i, text in enumerate(texts):
-                if text:
-                    own = words(text)
-                    if own:
-                        s = list(map(lookup, own))
-                        top[i] = max(s) if WINDOW == 1 else _worst(np.array(s), np.zeros(1, int))[0][0]
-                        size[i] = len(own)
-            x = self.calibration[0] + self.calibration[1] * top + self.calibration[2] * np.log1p(size)
-            return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            x = np.zeros((len(texts), len(self.calibration)))
+            x[:, 0] = 1
+            get = cache.get
+            for row, text in zip(x, texts):
+                own = words(text) if text else ()
+                if own:
+                    s = [lookup(w) if (known := get(w)) is None else known for w in own]
+                    row[1:] = *(_worst_of(s, span) for span in SPANS), sum(s) / len(s), np.log1p(len(s))
+            return 1 / (1 + np.exp(-np.clip(x @ self.calibration, -30, 30)))
 
         return score
 
@@ -138,7 +154,7 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 0) ->
     del vocabulary
     if len(set(labels)) < 2:
         prior = (1 + sum(labels)) / (2 + len(labels))
-        return Model(np.zeros(BUCKETS, np.float32), np.array([np.log(prior / (1 - prior)), 0.0, 0.0]))
+        return Model(np.zeros(BUCKETS, np.float32), np.array([np.log(prior / (1 - prior)), *np.zeros(len(SPANS) + 2)]))
     flat, grams = np.frombuffer(flat, np.int32), np.frombuffer(grams, np.int32)
     sizes, y, count = np.array(sizes), np.array(labels, float), np.array(count)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -171,8 +187,9 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 0) ->
         if epoch < WARM_UP:  # whole documents first: which words go with the label
             docs, members = np.repeat(np.arange(len(y)), sizes), flat
         else:
-            at = _worst(word_scores()[flat], starts)[1]
-            length = np.minimum(WINDOW, starts + sizes - at)
+            span = SPANS[epoch % len(SPANS)]
+            at = _worst(word_scores()[flat], starts, span)[1]
+            length = np.minimum(span, sizes)
             docs = np.repeat(np.arange(len(y)), length)
             members = flat[np.repeat(at, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)]
         share = 1 / np.bincount(docs, minlength=len(y))[docs]
@@ -198,22 +215,22 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 0) ->
             square_bias[k] += error.sum() ** 2
             bias[k] -= 0.1 * sign * error.sum() / np.sqrt(square_bias[k])
     bucket = emb @ (soft[1] - soft[0])
-    top = _worst(word_scores()[flat], starts)[0]
-    x = np.stack([np.ones(len(y)), top, np.log1p(sizes)], 1)
+    by_word = word_scores()[flat]
+    x = np.stack([np.ones(len(y)), *(_worst(by_word, starts, span)[0] for span in SPANS), np.add.reduceat(by_word, starts) / sizes, np.log1p(sizes)], 1)
     held = ~fit if len(set(y[~fit])) == 2 else np.ones(len(y), bool)
     return Model(bucket.astype(np.float32), _logistic(x[held], y[held]))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample (``SAMPLE_ROWS``) of the learning folds: crc32(doc_id) mod 3 is not 1."""
-    return train(labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, SAMPLE_ROWS, SAMPLE_CHARS))
+    return train(labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, SAMPLE_ROWS))
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with a toxicity in 0..1 for each text; a column of that name is replaced.
 
     Null and empty texts and texts without words get the score of a document without
-    any window, never null. Repeated rows get equal scores; other columns pass through.
+    any words, never null. Repeated rows get equal scores; other columns pass through.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.bucket, model.calibration, uuid4().hex))  # BUCKETS floats: a fixed size
@@ -227,18 +244,18 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     return docs.withColumn(column, toxicity(F.col("text")))
 
 
-_SCORERS: dict[str, object] = {}
-
-
 def _scorer(shared):
     """One scorer, with its cache, for all tasks that a Python worker runs on one model."""
-    if shared.value[2] not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[shared.value[2]] = Model(*shared.value[:2]).scorer()
-    return _SCORERS[shared.value[2]]
+    bucket, calibration, name = shared.value
+    return held(name, lambda: Model(bucket, calibration).scorer())
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs``.
+
+    Null texts count as empty ones; a null doc_id is in no fold; repeated rows stay; other
+    columns than doc_id and text are not read; an empty table has no row.
+    """
     model = fit_on(docs, labels)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
