@@ -26,7 +26,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS, CACHED_LENGTH = 700_000, 64
+from kinsplit.llm.worker import Cache, held
+
+CACHED_LENGTH = 64
 _NONE = 2**31 - 1
 
 
@@ -97,15 +99,11 @@ class Codec:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache()
 
     def _word(self, word: str) -> bytes:
         ids = np.array(fold(word.encode("utf-8", "replace"), self.ranks), "<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = ids
-        return ids
+        return self.cache.keep(word, ids) if len(word) <= CACHED_LENGTH else ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers; a null text is empty."""
@@ -116,16 +114,10 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(shared) -> Codec:
     """One codec, with its cache, for all tasks of a Python worker."""
     name, ranks, pattern = shared.value
-    if name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[name] = Codec(ranks, pattern)
-    return _CODECS[name]
+    return held(name, lambda: Codec(ranks, pattern))
 
 
 def _share(docs: DataFrame, path: str, pattern: str):

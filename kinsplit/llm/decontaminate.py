@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsplit.llm.tokens import NOT_ALPHANUMERIC, mix, text_bytes, word_hashes
+from kinsplit.llm.worker import held
+from kinsplit.plans.scratch import stored
 
 MASKS = ("11111", "1101011", "11100101", "1011001001", "110010000101")
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
@@ -138,16 +140,10 @@ def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
     yield Index(held)
 
 
-_INDEXES: dict[str, Index] = {}
-
-
 def _index(shared) -> Index:
     """The index, built once in each Python worker."""
     name, items = shared.value
-    if name not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[name] = Index(items)
-    return _INDEXES[name]
+    return held(name, lambda: Index(items))
 
 
 def _share(docs: DataFrame, index: Index):
@@ -159,8 +155,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that leaks into it.
 
     doc_id, item_id, first_word (where the item's compared part starts in the document),
-    n_agree, n_compared. Clean documents, null and empty texts give no row; repeated
-    documents give each of their rows.
+    n_agree, n_compared: at the place of most agreeing words, the first of equals. Clean
+    documents, null and empty texts give no row; repeated documents give each of their rows;
+    other columns than doc_id and text are not read.
     """
 
     def find(shared):
@@ -180,29 +177,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> Column:
-    """A boolean over ``text``, never null: does any benchmark item leak into it?"""
-
-    def flag(shared):
-        @F.pandas_udf("boolean")
-        def leak(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = _index(shared)
-            for texts in batches:
-                yield pd.Series([index.any_leak(hashes(t)) for t in texts], dtype=bool)
+def _leaks(docs: DataFrame, index: Index) -> Column:
+    """A boolean over ``text``, never null: does an item of this block leak into it?"""
+    shared = _share(docs, index)
 
-        return leak(F.col("text"))
+    @F.pandas_udf("boolean")
+    def leak(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = _index(shared)
+        for texts in batches:
+            yield pd.Series([own.any_leak(hashes(t)) for t in texts], dtype=bool)
 
-    columns = [flag(_share(docs, index)) for index in index_blocks(benchmark)]
-    out = columns[0]
-    for c in columns[1:]:
-        out = out | c
-    return out
+    return leak(F.col("text"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents into which no benchmark item leaks, with all their columns."""
-    return docs.filter(~leaks(docs, benchmark))
+    """The documents into which no benchmark item leaks, with all their columns, whatever their names.
+
+    Null and empty texts stay, and so do repeats of what stays; without items all stay. Each
+    block of items after the first is a pass of its own, so that a worker holds one index.
+    """
+    kept = None
+    for index in index_blocks(benchmark):
+        kept = docs if kept is None else stored(kept)
+        kept = kept.filter(~_leaks(kept, index))
+    return kept
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """:func:`contaminated`, over all documents and items."""
     return contaminated(docs, benchmark)

@@ -223,7 +223,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 node = node_of(own)
                 if node in done:  # another copy in this task
                     continue
-                if len(done) < 1_000_000:
+                if len(done) < 200_000:
                     done.add(node)
                 long, short = prefix_lengths(len(own))
                 if len(hot):
@@ -329,7 +329,7 @@ def _search_groups(part: pd.DataFrame, starts, stops, best: bool, seen: set[tupl
             if a != b:
                 out.add((max(a, b), min(a, b)))
     new = sorted(out - seen)
-    if len(seen) > 500_000:
+    if len(seen) > 100_000:
         seen.clear()
     seen.update(new)
     return pd.DataFrame(new, columns=["a", "b"], dtype="int64")
@@ -418,4 +418,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """:func:`join`, over all documents; an empty table has no row."""
     return join(docs)
