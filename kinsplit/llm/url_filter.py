@@ -49,21 +49,22 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     """
     added = ("blocked", "n_matches", "category")
     kept = [c for c in captures.columns if c not in added]
-    rows = captures.select(F.struct(*kept).alias("_row"), F.col(fetched).alias("_at"), domains(host(F.col(url))).alias("_keys")).withColumn("_id", F.monotonically_increasing_id())
+    rows = captures.select(F.struct(*kept).alias("_row"), F.col(fetched).alias("_at"), host(F.col(url)).alias("_host"))
     active = intervals(entries).withColumnRenamed("key", "_key")
-    asked = rows.select("_id", "_at", F.explode("_keys").alias("_key"))
+    # A verdict depends on host and date alone, so each pair is asked once and named by these, not by a row number.
+    asked = rows.select("_host", "_at").filter("_host is not null and _at is not null").distinct().select("_host", "_at", F.explode(domains(F.col("_host"))).alias("_key"))
     within = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     if active.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        # The list side is small: each row is answered where it lies, without a shuffle of captures.
+        # The list side is small: each pair is answered where it lies.
         by_key = F.broadcast(active.groupBy("_key").agg(F.collect_list(F.struct("valid_from", "valid_to", "category")).alias("_list")))
-        hits = asked.join(by_key, "_key").select("_id", "_at", F.explode("_list").alias("_e")).select("_id", "_at", "_e.*").filter(within)
+        hits = asked.join(by_key, "_key").select("_host", "_at", F.explode("_list").alias("_e")).select("_host", "_at", "_e.*").filter(within)
     else:
-        # A host may hold a third of the captures: they are dealt by key and salt, intervals repeated.
-        salted = asked.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
+        # A domain may hold a third of the hosts: pairs are dealt by key and salt, intervals repeated.
+        salted = asked.withColumn("_salt", F.pmod(F.xxhash64("_host", "_at"), F.lit(SALTS)))
         spread = active.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         hits = salted.join(spread, ["_key", "_salt"]).filter(within)
-    verdict = hits.groupBy("_id").agg(F.count("*").alias("n_matches"), F.min("category").alias("category"))
-    joined = rows.join(verdict, "_id", "left")
+    verdict = hits.groupBy("_host", "_at").agg(F.count("*").alias("n_matches"), F.min("category").alias("category"))
+    joined = rows.join(verdict, ["_host", "_at"], "left")
     return joined.select("_row.*", F.col("n_matches").isNotNull().alias("blocked"), F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"), "category")
 
 
