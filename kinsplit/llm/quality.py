@@ -14,6 +14,7 @@ repetition of words, word and line lengths. Everything is numpy over bytes.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from kinsplit.llm.tokens import text_bytes, word_hashes
 from kinsplit.llm.util import fold
 
 POSITIVE_ROWS, UNLABELLED_ROWS = 4000, 6000
+#: With fewer of either there is no model: every text scores 0.5, and a warning says so.
+LEAST_ROWS = 10
 THRESHOLD = 0.3
 STEPS, RATE, RIDGE = 300, 0.05, 1e-4
 
@@ -107,7 +110,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, count: Callable[[Model,
     ``count`` gives the tally of all unlabelled texts by a model's scores and cuts of
     these; without it, it is taken of every second of ``unlabelled``.
     """
-    if len(positive) < 10 or len(unlabelled) < 10:  # nothing to learn from: every text keeps the benefit of the doubt
+    if min(len(positive), len(unlabelled)) < LEAST_ROWS:
+        warnings.warn(f"{len(positive)} positive and {len(unlabelled)} unlabelled texts are too few to learn quality from: every text scores 0.5 and is kept", stacklevel=2)
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), 0.5)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 0.02
@@ -149,8 +153,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model
 
     Positives are rows labelled 1 with crc32(doc_id) mod 5 not 0; unlabelled texts are
     those whose label is not used: not listed, with a null label, or in the held-out fold,
-    whatever their label there. Both samples are the rows with the smallest id hashes; the
-    prior is estimated on every unlabelled text.
+    whatever their label there. Both samples are the rows with the smallest id hashes (ids of
+    several texts are skipped, repeated rows count once); the prior is estimated on every
+    unlabelled text.
     """
     used = labels.filter((fold(F.col("doc_id"), 5) != 0) & F.col(column).isNotNull()).select("doc_id").distinct()
     trusted = (
@@ -159,8 +164,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model
     other = docs.select("doc_id").join(used, "doc_id", "left_anti").distinct().select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(UNLABELLED_ROWS).withColumn("positive", F.lit(False))
     # Both lists are bounded by parameters, so the broadcast is.
     picked = F.broadcast(trusted.unionByName(other).select("doc_id", "h", "positive"))
-    found = docs.select("doc_id", "text").join(picked, "doc_id").select("positive", "h", _features_column().alias("x")).collect()
-    found.sort(key=lambda r: (r.h, r.x))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").groupBy("positive", "h", "doc_id").agg(F.min("text").alias("text"), F.max("text").alias("other")).filter("text = other")
+    found = texts.select("positive", "h", "doc_id", _features_column().alias("x")).collect()
+    found.sort(key=lambda r: (r.h, r.doc_id))
     take = lambda kind, n: np.array([r.x for r in found if r.positive == kind][:n]).reshape(-1, N_FEATURES)
 
     def count(held: Model, cuts: np.ndarray) -> np.ndarray:
@@ -193,6 +199,11 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs``.
+
+    Null texts count as empty ones; a null doc_id is in no fold; repeated rows stay; other
+    columns than doc_id and text are not read; an empty table has no row.
+    """
     model = fit_on(docs, labels)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
