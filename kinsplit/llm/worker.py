@@ -13,7 +13,7 @@ from typing import Any
 import pyarrow as pa
 
 #: Bytes of the entries that a worker's cache may hold; it is emptied when it has more.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 64 << 20
 #: Share of a dictionary that an entry takes, besides its key and value.
 _SLOT = 100
 
