@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from kinsplit.operators.query import _resolved, _used
 from kinsplit.plans.numbering import numbered
 from kinsplit.plans.scratch import stored
 
+#: Tables of nodes reached, one for each step, that are read together before they are written as one.
+MOST_TABLES = 10
+
 
 def path_cap(max_length: float | None) -> float:
     """Edges a path may have: 8 for None, no bound for infinity; fractions are cut."""
@@ -48,18 +52,29 @@ def _long(graph: DependencyGraph, paths: DataFrame, name: str, params: dict) ->
     return _used(graph, name, params, table, table.filter("edge_id is not null"), table)
 
 
+def _among(graph: DependencyGraph, node_types: Sequence[str] | None, starts: DataFrame, goals: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Starts, goals (column ``goal``) and stored arcs without loops, all of them among nodes of these types."""
+    goals, arcs = goals.withColumnRenamed("node_id", "goal"), arcs.filter("tail <> head")
+    if node_types is not None:
+        kept = graph.nodes.filter(F.col("node_type").isin([node_type(t).name for t in node_types])).select("node_id")
+        starts = starts.join(kept, "node_id", "left_semi")
+        goals = goals.join(kept.withColumnRenamed("node_id", "goal"), "goal", "left_semi")
+        for side in ("tail", "head"):
+            arcs = arcs.join(kept.withColumnRenamed("node_id", side), side, "left_semi")
+    return starts, goals, stored(arcs.select("tail", "head", "edge_id", "edge_type"))
+
+
 def query_paths(graph: DependencyGraph, from_: Sequence[str] | DataFrame, to: Sequence[str] | DataFrame, edge_types: Sequence[str] | None = None, node_types: Sequence[str] | None = None, mode: str = "out", max_length: float | None = None) -> QueryResult:
     """All simple paths of at most ``max_length`` edges for every pair of ends.
 
-    ``node_types`` filters finished paths by all their nodes, ends included. A step is a
-    join of the frontier with the edges; the frontier is written each step, so the plan
-    does not grow.
+    ``node_types`` filters finished paths by all their nodes, ends included, so no path need
+    go through others. A step is a join of the frontier with the edges; the frontier is
+    written each step, so the plan does not grow.
     """
     cap = path_cap(max_length)
-    arcs = stored(_arcs(graph, edge_types, mode).filter("tail <> head"))
-    goals = _resolved(graph, to).withColumnRenamed("node_id", "goal")
+    starts, goals, arcs = _among(graph, node_types, _resolved(graph, from_), _resolved(graph, to), _arcs(graph, edge_types, mode))
     empty = F.array().cast("array<string>")
-    frontier = _resolved(graph, from_).select(F.col("node_id").alias("end"), F.array("node_id").alias("nodes"), empty.alias("edge_ids"), empty.alias("edge_types"))
+    frontier = starts.select(F.col("node_id").alias("end"), F.array("node_id").alias("nodes"), empty.alias("edge_ids"), empty.alias("edge_types"))
     found = None
     steps = 0
     while steps < cap:
@@ -73,10 +88,6 @@ def query_paths(graph: DependencyGraph, from_: Sequence[str] | DataFrame, to: Se
     if found is None:
         found = frontier.filter(F.lit(False))
     paths = found.select("nodes", "edge_ids", "edge_types")
-    if node_types is not None:
-        allowed = graph.nodes.filter(F.col("node_type").isin([node_type(t).name for t in node_types])).select(F.col("node_id").alias("n"))
-        bad = paths.select("nodes", F.explode("nodes").alias("n")).join(allowed, "n", "left_anti").select("nodes").distinct()
-        paths = paths.join(bad, "nodes", "left_anti")
     return _long(graph, paths, "query_paths", {"mode": mode, "max_length": cap})
 
 
@@ -86,23 +97,19 @@ def query_shortest_paths(graph: DependencyGraph, from_: Sequence[str] | DataFram
     ``node_types`` keeps only these nodes before the search. All sources advance together,
     each node keeping the bytewise least of its shortest paths; equal ends give one step.
     """
-    arcs = _arcs(graph, edge_types, mode).filter("tail <> head")
-    starts, goals = _resolved(graph, from_), _resolved(graph, to).withColumnRenamed("node_id", "goal")
-    if node_types is not None:
-        kept = graph.nodes.filter(F.col("node_type").isin([node_type(t).name for t in node_types])).select("node_id")
-        starts = starts.join(kept, "node_id", "left_semi")
-        goals = goals.join(kept.withColumnRenamed("node_id", "goal"), "goal", "left_semi")
-        for side in ("tail", "head"):
-            arcs = arcs.join(kept.withColumnRenamed("node_id", side), side, "left_semi")
-    arcs = stored(arcs.select("tail", "head", "edge_id", "edge_type"))
+    starts, goals, arcs = _among(graph, node_types, _resolved(graph, from_), _resolved(graph, to), _arcs(graph, edge_types, mode))
     empty = F.array().cast("array<string>")
-    reached = stored(starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("end"), F.array("node_id").alias("nodes"), empty.alias("edge_ids"), empty.alias("edge_types")))
-    frontier = reached
+    frontier = stored(starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("end"), F.array("node_id").alias("nodes"), empty.alias("edge_ids"), empty.alias("edge_types")))
+    tables = [frontier]
     while True:
+        reached = reduce(DataFrame.unionByName, tables)
+        if len(tables) > MOST_TABLES:
+            reached = stored(reached)
+            tables = [reached]
         grown = frontier.join(arcs, F.col("end") == F.col("tail")).select("start", F.col("head").alias("end"), F.array_append("nodes", F.col("head")).alias("nodes"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("edge_types", F.col("edge_type")).alias("edge_types"))
         best = grown.join(reached.select("start", "end"), ["start", "end"], "left_anti").groupBy("start", "end").agg(F.min(F.struct("nodes", "edge_ids", "edge_types")).alias("p"))
         frontier = stored(best.select("start", "end", "p.*"))
         if frontier.isEmpty():
             break
-        reached = stored(reached.unionByName(frontier))
+        tables.append(frontier)
     return _long(graph, reached.join(goals, F.col("end") == F.col("goal"), "left_semi"), "query_shortest_paths", {"mode": mode})

@@ -3,7 +3,8 @@
 Each round every vertex points to the least of its neighbours and itself; pointers are
 followed twice, edges are renamed by them, and loops and repeats fall away. Stars vanish
 in one round and a path shrinks to a quarter, so rounds grow with the logarithm of the
-longest path. Edges and labels are written to shared tables each round.
+longest path. A round writes its pointers and its edges to shared tables; the pointers
+of all rounds are followed at the end.
 """
 
 from __future__ import annotations
@@ -19,24 +20,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Edges with a null end are ignored; a loop makes its vertex a component of its own.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
-    labels = stored(pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()).withColumn("component", F.col("vertex"))
-    pairs = stored(_ordered(pairs))
+    first = stored(_ordered(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")))
+    labels = first.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().withColumn("component", F.col("vertex"))
+    pairs = first.filter("a <> b")
+    pointers = []
     while not pairs.isEmpty():
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("to")))
+        least = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("to"))
         for _ in range(2):
             onward = least.select(F.col("v").alias("to"), F.col("to").alias("next"))
             least = least.join(onward, "to", "left").select("v", F.coalesce("next", "to").alias("to"))
-        least = stored(least)
-        labels = stored(labels.join(least.withColumnRenamed("v", "component"), "component", "left").select("vertex", F.coalesce("to", "component").alias("component")))
+        pointers.append(least := stored(least))
         renamed = pairs
         for end in ("a", "b"):
-            renamed = renamed.join(least.select(F.col("v").alias(end), F.col("to").alias(f"to_{end}")), end, "left")
-        pairs = stored(_ordered(renamed.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))))
-    return labels
+            renamed = renamed.join(least.select(F.col("v").alias(end), F.col("to").alias(f"to_{end}")), end)
+        pairs = stored(_ordered(renamed.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a <> b")))
+    for least in pointers:
+        labels = labels.join(least.withColumnRenamed("v", "component"), "component", "left").select("vertex", F.coalesce("to", "component").alias("component"))
+    return stored(labels)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each edge once, its larger end first, without loops."""
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    """Each edge once, its larger end first."""
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
