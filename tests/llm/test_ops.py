@@ -504,3 +504,43 @@ def test_url_filter_against_brute_force(spark):
         got = url_filter.evaluate(frame, listed).collect()
         url_filter.BROADCAST_ROWS = kept
         assert sorted(((r.url or "", str(r.fetched)), (r.blocked, r.n_matches, r.category)) for r in got) == want
+
+
+def test_jaccard_odd_rows(spark):
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(70_000))
+    same = " ".join(f"v{k}" for k in range(40))
+    rows = [(5, long), (6, long + " end"), (7, same), (None, same), (7, same), (7, "another text of the same id here"), (8, None), (9, ""), (None, None), (10, same.upper()), (None, "lone text of a row without id")]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, component_id string, node int").repartition(4)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.op4(frame).collect()), key=str)
+    assert got == sorted([(5, 69_996, 5), (6, 69_997, 5), (7, 36, 7), (None, 36, 7), (7, 36, 7), (7, 3, 7), (8, 0, 8), (9, 0, 9), (None, 0, None), (10, 36, 7), (None, 3, None)], key=str)
+    kept = jaccard_join.deduplicate(frame)
+    assert kept.columns == frame.columns and sorted(((r.doc_id, (r.text or "")[:12]) for r in kept.collect()), key=str) == sorted([(5, long[:12]), (7, same[:12]), (7, "another text"), (8, ""), (9, ""), (None, ""), (None, "lone text of")], key=str)
+    assert jaccard_join.op4(frame.limit(0)).count() == 0 and jaccard_join.deduplicate(frame.limit(0)).count() == 0
+
+
+def test_copies_over_many_partitions_against_brute_force(spark):
+    """Every row of a set of queries (ids divisible by 50) against all rows: no link is missed, wherever copies lie."""
+    rng = random.Random(21)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(rng.randint(20, 90))] for _ in range(30)]
+    rows = []
+    for i in range(400):
+        words = base[min(int(rng.expovariate(0.4)), 29)].copy()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 5)}"
+        rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    want = brute_components(rows)
+    for parts in (2, 7):
+        frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        got = sorted(tuple(r) for r in jaccard_join.join(frame).collect())
+        assert [r for r in got if r[0] % 50 == 0] == [r for r in want if r[0] % 50 == 0] and got == want
+
+
+def test_url_filter_odd_rows(spark):
+    entries = spark.createDataFrame([("a.example", dt.date(2024, 1, 1), "add", "x")] * 2 + [("a.example", dt.date(2024, 1, 1), "add", None)], "key string, entry_date date, action string, category string")
+    captures = spark.createDataFrame([("http://a.example/" + "p" * 100_000, dt.date(2024, 2, 1), 3, "old"), ("http://a.example/", dt.date(2024, 2, 1), 1, "old"), ("http://a.example/", dt.date(2024, 2, 1), 1, "old"), (None, None, None, None)], "url string, fetched date, _host int, n_matches string")
+    got = url_filter.evaluate(captures, entries)
+    assert got.columns == ["url", "fetched", "_host", "blocked", "n_matches", "category"]
+    assert sorted((r._host or 0, r.blocked, r.n_matches, r.category) for r in got.collect()) == [(0, False, 0, None), (1, True, 1, "x"), (1, True, 1, "x"), (3, True, 1, "x")]
+    assert url_filter.evaluate(captures, entries.limit(0)).filter("blocked").count() == 0 and url_filter.evaluate(captures.limit(0), entries).count() == 0
