@@ -146,58 +146,77 @@ def search(points: list[np.ndarray], left: np.ndarray, right: np.ndarray, compon
     return sorted(found)
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """The most frequent shingles, at most ``FREQUENT``, sorted by count.
-
-    Each task keeps a summary of its most frequent shingles; the summaries are added up.
+class Frequent:
+    """A bounded summary of the most frequent shingles that a task has met."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, shingles: np.ndarray) -> None:
+        self.held.append(shingles)
+        self.size += len(shingles)
+        if self.size >= 4 * SUMMARY:
+            self._settle()
+
+    def _settle(self) -> None:
+        if not self.held:
+            return
+        new, n = np.unique(np.concatenate(self.held), return_counts=True)
+        if self.size >= SUMMARY:  # a shingle once in many documents is not frequent here
+            new, n = new[n > 1], n[n > 1]
+        keys, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([self.counts, n]), len(keys)).astype(np.int64)
+        if len(keys) > SUMMARY:
+            top = np.sort(np.argpartition(-counts, SUMMARY)[:SUMMARY])
+            keys, counts = keys[top], counts[top]
+        self.keys, self.counts, self.held, self.size = keys, counts, [], 0
+
+    def top(self) -> tuple[np.ndarray, np.ndarray]:
+        """At most ``FREQUENT`` shingles met twice or more, and their counts."""
+        self._settle()
+        top = np.argsort(-self.counts, kind="stable")[:FREQUENT]
+        top = top[self.counts[top] > 1]
+        return self.keys[top], self.counts[top]
+
+
+_SHAPES = "doc_id string, text_hash long, n_shingles long, node long, point binary, shingle long, n long"
+
+
+def shapes_and_frequent(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """One pass over all texts, written once.
+
+    doc_id, text_hash, n_shingles, node and point of every row (node is null without words);
+    and the most frequent shingles of all, at most ``FREQUENT``, by ascending count. Each task
+    adds its summary of these to its rows; the summaries are added up.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held, size = [], 0
-
-        def settle():
-            nonlocal keys, counts, held, size
-            new, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
-            if size >= SUMMARY:  # a shingle once in many documents is not frequent here
-                new, n = new[n > 1], n[n > 1]
-            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > SUMMARY:
-                top = np.sort(np.argpartition(-counts, SUMMARY)[:SUMMARY])
-                keys, counts = keys[top], counts[top]
-            held, size = [], 0
+    def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(doc_ids, hashes, found, keys, counts) -> pd.DataFrame:
+            column = lambda values, kind="Int64": pd.Series(list(values), dtype=kind)
+            return pd.DataFrame({"doc_id": column(doc_ids, object), "text_hash": column(hashes), "n_shingles": column(r[0] for r in found), "node": column(r[1] for r in found), "point": column((r[2] for r in found), object), "shingle": column(keys), "n": column(counts)})
 
+        frequent = Frequent()
         for part in batches:
+            found = []
             for text in part.text:
                 own = shingles(text)
-                held.append(own)
-                size += len(own)
-                if size >= 4 * SUMMARY:
-                    settle()
-        settle()
-        top = np.argsort(-counts, kind="stable")[:FREQUENT]
-        top = top[counts[top] > 1]
-        yield pd.DataFrame({"h": keys[top].view(np.int64), "n": counts[top]})
-
-    summed = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
-    rows = summed.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    return np.array([r.h for r in reversed(rows)], np.int64).view(np.uint64)
-
-
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node, point of every row; node is null without words."""
-
-    @F.pandas_udf("n_shingles long, node long, point binary")
-    def shape(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                own = shingles(text)
-                rows.append((len(own), node_of(own), point(own).astype("<u2" if len(own) < 65536 else "<u4").tobytes()) if len(own) else (0, None, None))
-            yield pd.DataFrame({"n_shingles": [r[0] for r in rows], "node": pd.array([r[1] for r in rows], "Int64"), "point": [r[2] for r in rows]})
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), shape(F.col("text")).alias("_s")).select("doc_id", "text_hash", "_s.*")
+                frequent.add(own)
+                found.append((len(own), node_of(own), point(own).astype("<u2" if len(own) < 65536 else "<u4").tobytes()) if len(own) else (0, None, None))
+            none = [None] * len(found)
+            yield rows([None if pd.isna(d) else d for d in part.doc_id], part.text_hash, found, none, none)
+        keys, counts = frequent.top()
+        none = [None] * len(keys)
+        yield rows(none, none, [(None, None, None)] * len(keys), keys.view(np.int64), counts)
+
+    # Ids above 2**53 would not survive pandas' floats, which columns with nulls become.
+    read = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    both = stored(read.mapInPandas(shape, _SHAPES))
+    summed = both.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    rows = summed.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    every = both.filter("shingle is null").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text_hash", "n_shingles", "node", "point")
+    return every, np.array([r.shingle for r in reversed(rows)], np.int64).view(np.uint64)
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -338,7 +357,7 @@ def _search_groups(part: pd.DataFrame, starts, stops, best: bool, seen: set[tupl
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles and component (one of its nodes) of every row; null without words."""
     docs = docs.select("doc_id", "text")
-    every = stored(nodes(docs))
+    every, frequent = shapes_and_frequent(docs)
     # Any text of a node has its set, so the one of least hash stands for it.
     shapes = stored(every.filter("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("n_shingles"), F.min("point").alias("point")))
     within = Window.partitionBy("sig")
@@ -348,7 +367,7 @@ def components(docs: DataFrame) -> DataFrame:
     # number and ends, in the xor of their names and in the sum of another hash of these.
     same = F.bit_xor("node").over(within), F.sum(F.shiftrightunsigned(F.xxhash64("node"), 32)).over(within)
     shared = (
-        signatures(docs, frequent_shingles(docs))
+        signatures(docs, frequent)
         .withColumn("again", again)
         .filter("again is null or again <> node")
         .withColumns({"lo": F.min("node").over(within), "hi": F.max("node").over(within), "short": F.max("short").over(within)})
