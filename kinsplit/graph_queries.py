@@ -565,8 +565,8 @@ def summaries(spark, d):
 def streamed_graph(spark, d):
     """Orders as a stream: its nodes and edges, written by two streaming queries until nothing is left."""
     source = table(spark, d, "orders").schema
-    # A stream reads folders; the file's own is read by name.
-    rows = lambda: spark.readStream.schema(source).option("pathGlobFilter", "orders.parquet").parquet(d)
+    # By a pattern, a stream reads a single file as well as a folder of them.
+    rows = lambda: spark.readStream.schema(source).parquet(f"{d}/orders.parque[t]")
     nodes = stream_nodes(rows(), "Sample", "o_orderkey").select(F.col("node_id").alias("id"), F.col("node_type").alias("kind"))
     edges = stream_edges(rows(), "o_orderkey", "o_custkey", "sample_belongs_to_subject").select(F.col("edge_id").alias("id"), F.col("edge_type").alias("kind"))
     out = []
