@@ -120,7 +120,7 @@ def edge_type_counts(spark, d):
 
 
 @registered(ORDERS + "SELECT DISTINCT 'timepoint:' || t AS node_id, ti AS time_index FROM m")
-def graph_json_rows(spark, d):
+def attributes_as_json(spark, d):
     nodes = graph(orders(spark, d), "timepoint_id", "time_index").of_type("Timepoint")
     return nodes.select("node_id", F.get_json_object(F.to_json("attrs"), "$.time_index").cast("double").alias("time_index"))
 
