@@ -119,3 +119,10 @@ def test_numbering_does_not_depend_on_partitions(spark):
     g2 = graph(spark, F1)
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     assert rows(g1.edges, "edge_id", "from", "to") == rows(g2.edges, "edge_id", "from", "to")
+
+
+def test_a_graph_is_stored_once(spark):
+    g = graph_from_metadata(quick(spark), validate=False, checked=False)
+    kept = g.stored
+    assert kept is g.stored is kept.stored and kept.nodes.inputFiles() and kept.metadata is g.metadata
+    assert rows(kept.edges, "edge_id", "from", "to", "edge_type", "ord") == rows(g.edges, "edge_id", "from", "to", "edge_type", "ord")
