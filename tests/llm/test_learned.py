@@ -183,3 +183,35 @@ def test_decontamination_by_brute_force(spark, monkeypatch):
         hit = {d for d, _ in want}
         assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in rows if d not in hit), key=str)
     assert decontaminate.op10(docs.limit(0), bench).count() == 0 and decontaminate.op10(docs, bench.limit(0)).count() == 0
+
+
+def test_worst_spans_by_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sizes = rng.integers(1, 9, 6)
+        scores = rng.integers(-3, 4, sizes.sum()).astype(float)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        for span in (1, 2, 4):
+            best, at = toxicity._worst(scores, starts, span)
+            for k, (a, n) in enumerate(zip(starts, sizes)):
+                means = [scores[i : i + min(span, n)].mean() for i in range(a, a + n - min(span, n) + 1)]
+                assert best[k] == pytest.approx(max(means)) == pytest.approx(toxicity._worst_of(scores[a : a + n].tolist(), span)) and means[at[k] - a] == pytest.approx(max(means))
+
+
+def test_evidence_of_a_phrase_adds_up():
+    """Words that are harmless alone, and toxic three in a row."""
+    rng = random.Random(2)
+    parts = ["quite", "utterly", "hopeless"]
+
+    def text(toxic):
+        words = [word(rng) for _ in range(30)]
+        if toxic:
+            words[5:5] = rng.sample(parts, 3)
+        else:
+            for at, w in zip((3, 14, 25), rng.sample(parts, rng.choice([1, 1, 2]))):
+                words.insert(at, w)
+        return " ".join(words)
+
+    model = toxicity.train([(text(i % 2), i % 2) for i in range(1200)])
+    p = model.scorer()([text(i % 2) for i in range(300)])
+    assert np.mean([(s >= 0.5) == (i % 2) for i, s in enumerate(p)]) > 0.85
