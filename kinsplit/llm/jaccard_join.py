@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsplit.llm.tokens import shingle_hashes, text_bytes, word_hashes
+from kinsplit.llm.util import small_batches
 from kinsplit.plans.components import connected_components
 from kinsplit.plans.scratch import stored
 
 WORDS, PERCENT = 5, 80
 #: Groups of a point by the size of its set: a bound needs about n/25 groups, and tells more with more.
 GROUPS = ((64, 64), (2048, 256), (1 << 62, 1024))
-CELL, FANOUT = 1024, 32
+CELL, FANOUT, SALTS = 1024, 32, 64
 #: Frequent shingles that are ordered last: at most so many, counted over all documents.
 FREQUENT, LEAST_COUNT, SUMMARY = 20_000, 20, 200_000
 BROADCAST_ROWS = 500_000
@@ -220,7 +221,7 @@ def shapes_and_frequent(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, node, size, short): prefix shingles of each set; ``short`` marks its first ninth."""
+    """(sig, node, short, hot): prefix shingles of each set; ``short`` marks its first ninth, ``hot`` frequent ones."""
     by_hash = np.argsort(frequent, kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash + 1))  # at most FREQUENT entries
 
@@ -228,10 +229,10 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         hot, rank = shared.value
         done: set[int] = set()
 
-        def rows(out: list[tuple[np.ndarray, int, int, int]]) -> pd.DataFrame:
+        def rows(out: list[tuple[np.ndarray, np.ndarray, int, int]]) -> pd.DataFrame:
             sizes = [len(o[0]) for o in out]
             short = np.concatenate([np.arange(n) < o[3] for n, o in zip(sizes, out)])
-            return pd.DataFrame({"sig": np.concatenate([o[0] for o in out]), "node": np.repeat([o[1] for o in out], sizes), "size": np.repeat(np.array([o[2] for o in out], np.int32), sizes), "short": short})
+            return pd.DataFrame({"sig": np.concatenate([o[0] for o in out]), "node": np.repeat([o[2] for o in out], sizes), "short": short, "hot": np.concatenate([o[1] for o in out])})
 
         for part in batches:
             out, held = [], 0
@@ -245,12 +246,12 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if len(done) < 200_000:
                     done.add(node)
                 long, short = prefix_lengths(len(own))
+                late = np.zeros(len(own), np.int64)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
                     late = np.where(hot[at] == own, rank[at], 0)
-                    if late.any():
-                        own = own[np.argsort(late, kind="stable")]
-                out.append((own[:long].view(np.int64).copy(), node, len(own), short))
+                order = np.argsort(late, kind="stable")[:long]
+                out.append((own[order].view(np.int64), late[order] > 0, node, short))
                 held += long
                 if held >= EMIT_ROWS:  # a batch of texts has many times as many rows
                     yield rows(out)
@@ -258,7 +259,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if out:
                 yield rows(out)
 
-    return docs.select("text").mapInPandas(emit, "sig long, node long, size int, short boolean")
+    return docs.select("text").mapInPandas(emit, "sig long, node long, short boolean, hot boolean")
 
 
 def _points(column: pd.Series, sizes: pd.Series) -> list[np.ndarray]:
@@ -307,15 +308,9 @@ def _bounded(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def _searched(blocks: DataFrame, shapes: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
     """Pairs of nodes in different components that a block's tree finds; all, or the best of each node."""
-    within = Window.partitionBy("sig")
-    open_ = (
-        blocks.filter("members > 2")
-        .join(labels.withColumnRenamed("vertex", "node"), "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .withColumns({"least": F.min("component").over(within), "most": F.max("component").over(within)})
-        .filter("least <> most")
-        .select("sig", "node", "component", "members")
-    )
+    labelled = blocks.filter("members > 2").join(labels.withColumnRenamed("vertex", "node"), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"), "members")
+    several = labelled.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("sig")
+    open_ = labelled.join(several, "sig")
     cells = F.ceil(F.col("members") / CELL).cast("int")
     dealt = open_.withColumns({"own": F.pmod(F.xxhash64("node", "sig"), cells).cast("int"), "other": F.explode(F.sequence(F.lit(0), cells - 1))})
     dealt = dealt.select("sig", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), "own", "node", "component")
@@ -354,28 +349,52 @@ def _search_groups(part: pd.DataFrame, starts, stops, best: bool, seen: set[tupl
     return pd.DataFrame(new, columns=["a", "b"], dtype="int64")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component (one of its nodes) of every row; null without words."""
-    docs = docs.select("doc_id", "text")
-    every, frequent = shapes_and_frequent(docs)
-    # Any text of a node has its set, so the one of least hash stands for it.
-    shapes = stored(every.filter("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("n_shingles"), F.min("point").alias("point")))
-    within = Window.partitionBy("sig")
+def _blocks(sigs: DataFrame) -> DataFrame:
+    """(sig, node, lo, hi, mid, members, same, total): the nodes of each block of two or more that hold a link's ends.
+
+    ``lo``, ``hi`` and ``mid`` are members, to serve as heads; blocks of the same nodes, as
+    those of a group of copies, agree in ``members``, ``lo``, ``hi``, the xor of the nodes' names
+    (``same``) and the sum of another hash of these (``total``). A frequent shingle's block is dealt over ``SALTS``
+    parts; what these say of their nodes is added up, a row for each frequent shingle and part.
+    Any other shingle stands in no more rows than the least of ``FREQUENT`` frequent ones.
+    """
+    within = Window.partitionBy("sig", "salt")
     # A set has a row for each task that met a copy of it; one is kept, so that a block lists each node once.
     again = F.lag("node").over(within.orderBy("node"))
-    # Blocks of the same nodes, as those of a group of copies, are searched once: equal in
-    # number and ends, in the xor of their names and in the sum of another hash of these.
-    same = F.bit_xor("node").over(within), F.sum(F.shiftrightunsigned(F.xxhash64("node"), 32)).over(within)
-    shared = (
-        signatures(docs, frequent)
+    facts = {"lo": F.min("node"), "hi": F.max("node"), "any_short": F.max("short")}
+    more = {"mid": F.min_by("node", F.xxhash64("node")), "members": F.count("*"), "same": F.bit_xor("node"), "total": F.sum(F.shiftrightunsigned(F.xxhash64("node"), 32))}
+    linked = (F.col("lo") != F.col("hi")) & F.col("any_short")
+    parts = stored(
+        sigs.withColumn("salt", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
         .withColumn("again", again)
         .filter("again is null or again <> node")
-        .withColumns({"lo": F.min("node").over(within), "hi": F.max("node").over(within), "short": F.max("short").over(within)})
-        .filter("lo <> hi and short")
-        .withColumns({"mid": F.min_by("node", F.xxhash64("node")).over(within), "members": F.count("*").over(within), "same": same[0], "total": same[1]})
-        .drop("again", "short", "size")
+        .withColumns({name: fact.over(within) for name, fact in facts.items()})
+        .filter(F.col("hot") | linked)
+        .withColumns({name: fact.over(within) for name, fact in more.items()})
+        .drop("again", "short")
     )
-    shared = stored(shared)
+    columns = ["sig", "node", "lo", "hi", "mid", "members", "same", "total"]
+    hot = parts.filter("hot")
+    summed = hot.drop("node").distinct().groupBy("sig").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("any_short").alias("any_short"), F.min_by("mid", F.xxhash64("mid")).alias("mid"), F.sum("members").alias("members"), F.bit_xor("same").alias("same"), F.sum("total").alias("total"))
+    whole = hot.select("sig", "node").join(F.broadcast(summed.filter(linked)), "sig")  # at most FREQUENT rows
+    return parts.filter("not hot").select(*columns).unionByName(whole.select(*columns))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component (one of its nodes) of every row; null without words.
+
+    All that Python workers do is done, and written, when this returns.
+    """
+    with small_batches(docs.sparkSession):  # pairs of sets are wide rows
+        return _components(docs)
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "text")
+    every, frequent = shapes_and_frequent(docs)
+    # Any text of a node has its set, so the one of least hash stands for it.
+    shapes = stored(every.filter("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("n_shingles"), F.min("point").alias("point")))
+    shared = stored(_blocks(signatures(docs, frequent)))
     once = shared.groupBy("same", "total", "members", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
     blocks = stored(shared.join(once, "sig"))
     heads = F.explode(F.array_distinct(F.array("lo", "hi", "mid")))

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While jobs run in here, rows go to Python workers in batches of at most ``size``."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def free(docs: DataFrame, name: str) -> str:
     """``name``, or a longer one that is no column of ``docs``."""
     taken = {c.lower() for c in docs.columns}
