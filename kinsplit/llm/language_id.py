@@ -36,9 +36,12 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 def trigrams(word: str) -> list[int]:
     """Buckets of a word's trigrams, without outer signs and digits; none without a letter."""
     word = word.strip(EDGE)
-    if not any(map(str.isalpha, word)):
+    if not word.isalpha() and not any(map(str.isalpha, word)):
         return []
     word = f" {word} "
+    if word.isascii():  # a byte is a character
+        raw = word.encode()
+        return [crc32(raw[i : i + N]) % BUCKETS for i in range(len(raw) - N + 1)]
     return [crc32(word[i : i + N].encode("utf-8", "replace")) % BUCKETS for i in range(len(word) - N + 1)]
 
 
@@ -91,17 +94,20 @@ class Model:
         rows = np.zeros((1024, len(self.languages)))
         used = 0
 
-        def learn(word: str) -> None:
+        def learn(words: set[str]) -> None:
             nonlocal rows, used
-            ids = trigrams(word)
-            if not ids:
-                known[word] = -1
-                return
-            if used == len(rows):
-                rows = np.concatenate([rows, np.zeros_like(rows)])
-            rows[used] = self.table[ids].sum(0)
-            known[word] = used
-            used += 1
+            flat, starts = [], []
+            for word in words:
+                ids = trigrams(word)
+                known[word] = used + len(starts) if ids else -1
+                if ids:
+                    starts.append(len(flat))
+                    flat += ids
+            if starts:
+                if used + len(starts) > len(rows):
+                    rows = np.concatenate([rows, np.zeros((len(rows) + len(starts), rows.shape[1]))])
+                rows[used : used + len(starts)] = np.add.reduceat(self.table[flat], starts)
+                used += len(starts)
 
         def predict(texts) -> list[tuple[str, float]]:
             nonlocal rows, used
@@ -111,8 +117,7 @@ class Model:
                     known.clear()
                     rows, used = np.zeros((1024, len(self.languages))), 0
                 words = (text or "").lower().split()
-                for word in set(words).difference(known):
-                    learn(word)
+                learn(set(words).difference(known))
                 at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 at = at[at >= 0]
                 if not len(at) or not self.languages:
