@@ -428,7 +428,8 @@ def join(docs: DataFrame) -> DataFrame:
     share a doc_id are rows of their own. Only doc_id and text are read.
     """
     named = components(docs)
-    least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join stands apart from the sums and a large component's rows can be split.
+    least = stored(named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     joined = named.join(least, "component", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -441,7 +442,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     named = stored(components(docs).filter("component is not null"))
     rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
-    first = named.groupBy("component").agg(F.min(rank).alias("first")).select("component", F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
+    first = stored(named.groupBy("component").agg(F.min(rank).alias("first")).select("component", F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash")))
     other = ~F.col("doc_id").eqNullSafe(F.col("keep_id")) | (F.col("text_hash") != F.col("keep_hash"))
     gone = stored(named.join(first, "component").filter(other).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct())
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # 16 bytes a row
