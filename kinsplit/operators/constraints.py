@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -34,37 +35,52 @@ def _modes(names: Sequence[str]) -> list[str]:
     return out
 
 
-def direct_assignment(graph: DependencyGraph, mode: str, samples: Ids = None) -> tuple[DataFrame, list[str]]:
-    """sample_id, sample_node_id, target_id, target_key of every sample, and warnings.
+@dataclass(frozen=True)
+class Assignments:
+    """sample_id, sample_node_id and, for each mode, ``<mode>_id`` and ``<mode>_key`` of its target; and warnings by mode."""
 
-    More than one edge of the mode's relation raises, but for subjects if the graph's
+    df: DataFrame
+    notes: dict[str, list[str]]
+
+    def table(self, mode: str) -> DataFrame:
+        return self.df.select("sample_id", "sample_node_id", F.col(f"{mode}_id").alias("target_id"), F.col(f"{mode}_key").alias("target_key"))
+
+
+def direct_assignments(graph: DependencyGraph, modes: Sequence[str], samples: Ids = None, noted: bool = True) -> Assignments:
+    """The target of every sample in each mode, in one pass over the edges.
+
+    More than one edge of a mode's relation raises, but for subjects if the graph's
     ``allow_multi_subject_samples`` is True: then the edge of the lowest position (``ord``)
     counts, which is the first listed one if the edges were numbered in the order of the
     rows (``order_by``); without positions the least target. The table is written once, as
-    the checks and what follows read it several times.
+    the checks and what follows read it several times. ``noted=False`` lists no warnings.
     """
-    relation = SAMPLE_RELATION[MODE_TYPE[mode]]
+    kinds = {m: MODE_TYPE[m] for m in modes}
     asked = sample_nodes(graph, samples)
-    edges = graph.relation(relation)
+    edges = graph.edges.filter(F.col("edge_type").isin([SAMPLE_RELATION[k] for k in kinds.values()]))
     if samples is not None:
         edges = edges.join(asked, F.col("from") == F.col("sample_node_id"), "left_semi")
-    first = edges.groupBy(F.col("from").alias("sample_node_id")).agg(F.count("*").alias("_edges"), F.min(F.struct(F.coalesce("ord", F.lit(2**62)).alias("ord"), "to")).alias("e"))
-    targets = graph.of_type(MODE_TYPE[mode]).select(F.col("node_id").alias("target_id"), F.col("node_key").alias("target_key"))
-    linked = first.select("sample_node_id", "_edges", F.col("e.to").alias("target_id")).join(targets, "target_id", "left")
-    assigned = stored(asked.join(linked, "sample_node_id", "left").select("sample_id", "sample_node_id", "target_id", "target_key", "_edges"))
-    missing: list[str] = []
-    several: list[str] = []
-    facts = assigned.agg(F.count_if(F.col("_edges") > 1).alias("several"), F.count_if(F.col("target_key").isNull()).alias("missing")).first()
-    if facts.several:
-        twice = listing(*first_ids(assigned.filter("_edges > 1"), "sample_id"))
-        if mode != "subject" or graph.metadata.get("validation_overrides", {}).get("allow_multi_subject_samples") is not True:
-            raise DepGraphError(f"Multiple {mode} assignments found for sample(s): {twice}")
-        several.append(f"Samples linked to multiple subjects were assigned to their first listed subject (allow_multi_subject_samples override): {twice}")
-    assigned = assigned.drop("_edges")
-    if facts.missing:
-        word = "timepoint" if mode == "time" else mode
-        missing.append(f"Samples missing {word} assignments were retained as singleton groups: {listing(*first_ids(assigned.filter('target_key is null'), 'sample_id'))}")
-    return assigned, missing + several
+    targets = graph.nodes.filter(F.col("node_type").isin(list(kinds.values()))).select(F.col("node_id").alias("to"), "node_type", "node_key")
+    facts = []
+    for mode, kind in kinds.items():
+        own = F.col("edge_type") == SAMPLE_RELATION[kind]
+        key = F.when(F.col("node_type") == kind, F.col("node_key")).alias("key")
+        facts += [F.count_if(own).alias(f"{mode}_n"), F.min(F.when(own, F.struct(F.coalesce("ord", F.lit(2**62)).alias("ord"), "to", key))).alias(f"{mode}_first")]
+    first = edges.join(targets, "to", "left").groupBy(F.col("from").alias("sample_node_id")).agg(*facts)
+    columns = [c for m in kinds for c in (F.col(f"{m}_first.to").alias(f"{m}_id"), F.col(f"{m}_first.key").alias(f"{m}_key"), f"{m}_n")]
+    assigned = stored(asked.join(first, "sample_node_id", "left").select("sample_id", "sample_node_id", *columns))
+    seen = assigned.agg(*[c for m in kinds for c in (F.count_if(F.col(f"{m}_n") > 1).alias(f"{m}_several"), F.count_if(F.col(f"{m}_key").isNull()).alias(f"{m}_missing"))]).first()
+    notes: dict[str, list[str]] = {m: [] for m in kinds}
+    for mode in kinds:
+        if seen[f"{mode}_missing"] and noted:
+            word = "timepoint" if mode == "time" else mode
+            notes[mode].append(f"Samples missing {word} assignments were retained as singleton groups: {listing(*first_ids(assigned.filter(f'{mode}_key is null'), 'sample_id'))}")
+        if seen[f"{mode}_several"]:
+            several = listing(*first_ids(assigned.filter(f"{mode}_n > 1"), "sample_id"))
+            if mode != "subject" or graph.metadata.get("validation_overrides", {}).get("allow_multi_subject_samples") is not True:
+                raise DepGraphError(f"Multiple {mode} assignments found for sample(s): {several}")
+            notes[mode].append(f"Samples linked to multiple subjects were assigned to their first listed subject (allow_multi_subject_samples override): {several}")
+    return Assignments(assigned.drop(*[f"{m}_n" for m in kinds]), notes)
 
 
 def sample_map(assigned: DataFrame, mode: str) -> DataFrame:
@@ -107,7 +123,8 @@ def _metadata(mode: str, relations: list[str], notes: list[str], **more: Any) ->
 
 
 def _direct(graph: DependencyGraph, mode: str, samples: Ids) -> SplitConstraint:
-    assigned, notes = direct_assignment(graph, mode, samples)
+    found = direct_assignments(graph, [mode], samples)
+    assigned, notes = found.table(mode), found.notes[mode]
     relations = [SAMPLE_RELATION[MODE_TYPE[mode]]]
     if mode != "time":
         table = sample_map(assigned, mode).select(*_MAP)
@@ -140,14 +157,12 @@ def _rule_based(graph: DependencyGraph, samples: Ids, via: Sequence[str], priori
     modes = _modes(via)
     order = _modes(priority) if priority is not None else modes
     check(set(order) <= set(modes), "`priority` must be a subset of `via`")
-    table, notes, timing = sample_nodes(graph, samples), [], None
-    for mode in order:
-        assigned, _ = direct_assignment(graph, mode, samples)
-        extra = []
-        if mode == "time":
-            assigned, timing = _with_time(graph, assigned)
-            extra = ["time_index", "timepoint_id", "order_rank"]
-        table = table.join(assigned.select("sample_node_id", F.col("target_key").alias(f"_{mode}"), *extra), "sample_node_id", "left")
+    notes, timing = [], None
+    found = direct_assignments(graph, order, samples, noted=False)
+    table = found.df.withColumnsRenamed({f"{m}_key": f"_{m}" for m in order})
+    if "time" in order:
+        timed, timing = _with_time(graph, found.table("time"))
+        table = table.join(timed.select("sample_node_id", "time_index", "timepoint_id", "order_rank"), "sample_node_id", "left")
     key, label = F.coalesce(*[F.col(f"_{m}") for m in order]), F.lit(None).cast("string")
     for m in reversed(order):
         label = F.when(F.col(f"_{m}").isNotNull(), F.lit(m)).otherwise(label)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinsplit.functions.columns import first_ids, listing, present
 from kinsplit.model import DependencyGraph, Report, RiskSummary, SplitConstraint, SplitSpec
-from kinsplit.operators.constraints import _with_time, direct_assignment
+from kinsplit.operators.constraints import _with_time, direct_assignments
 from kinsplit.operators.validate import validate_graph
 
 COLUMNS = {"sample_id": "string", "sample_node_id": "string", "group_id": "string", "primary_group": "string", "batch_group": "string", "study_group": "string", "timepoint_id": "string", "time_index": "double", "order_rank": "int"}
@@ -42,13 +42,11 @@ def as_split_spec(constraint: SplitConstraint, graph: DependencyGraph | None = N
 def _enriched(table: DataFrame, graph: DependencyGraph) -> DataFrame:
     """Missing batch, study and time values, from the graph's direct assignments."""
     graph = graph.stored
-    for mode in ("batch", "study"):
-        assigned, _ = direct_assignment(graph, mode)
-        table = table.join(assigned.select("sample_node_id", F.col("target_key").alias("_new")), "sample_node_id", "left").withColumn(f"{mode}_group", _filled(f"{mode}_group", "_new")).drop("_new")
-    timed, _ = _with_time(graph, direct_assignment(graph, "time")[0])
-    names = ("timepoint_id", "time_index", "order_rank")
-    table = table.join(timed.select("sample_node_id", *[F.col(c).alias(f"_{c}") for c in names]), "sample_node_id", "left")
-    return table.withColumns({c: _filled(c, f"_{c}") for c in names}).select(*COLUMNS)
+    found = direct_assignments(graph, ("batch", "study", "time"), noted=False).df
+    timed, _ = _with_time(graph, found.withColumnsRenamed({"time_id": "target_id", "time_key": "target_key"}))
+    own = {"batch_group": "batch_key", "study_group": "study_key", "timepoint_id": "timepoint_id", "time_index": "time_index", "order_rank": "order_rank"}
+    table = table.join(timed.select("sample_node_id", *[F.col(c).alias(f"_{name}") for name, c in own.items()]), "sample_node_id", "left")
+    return table.withColumns({c: _filled(c, f"_{c}") for c in own}).select(*COLUMNS)
 
 
 def _filled(column: str, other: str) -> Column:
