@@ -334,9 +334,10 @@ SELECT 'path_' || k AS path_id, CAST(unnest(range(1, len(nodes) + 1)) AS INT) AS
 def _month_graph(spark: SparkSession, d: str) -> tuple[DependencyGraph, DataFrame]:
     rows = _months(spark, d)
     times = rows.select("timepoint_id", "time_index").distinct()
-    low = times.agg(F.min("time_index").alias("low"))
-    placed = times.join(F.broadcast(low)).select("timepoint_id", F.concat(F.lit("timepoint:"), "timepoint_id").alias("node_id"), (F.col("time_index") - F.col("low") + 1).alias("k"))  # one row
-    back = placed.filter("k = 3").select(F.col("timepoint_id").alias("a")).join(placed.filter("k = 1").select(F.col("timepoint_id").alias("b")))
+    low = times.agg(F.min("time_index")).first()[0]
+    placed = times.select("timepoint_id", F.concat(F.lit("timepoint:"), "timepoint_id").alias("node_id"), (F.col("time_index") - low + 1).alias("k"))
+    named = {int(r.k): r.timepoint_id for r in placed.filter("k in (1, 3)").collect()}
+    back = spark.createDataFrame([(named[3], named[1])], "a string, b string")
     return _timed(rows, times.select("timepoint_id"), union([_next(times), _next(times, 2), back])), placed
 
 
