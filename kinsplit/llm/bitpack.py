@@ -145,8 +145,10 @@ class WordCodec:
             and not any(t[k] for t in rules.get("added_tokens") or [] for k in ("normalized", "single_word", "lstrip", "rstrip"))
         )
         self.added = [] if literal else added
-        self.model = self.tokenizer.model
-        self.bits = width(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.tokenize = self.tokenizer.model.tokenize
+        size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.bits = width(size)
+        self.spelled = [i.to_bytes(4, "little") for i in range(size)]
         self.words = worker.Cache(CACHE_BYTES)
 
     def _whole(self, text: str) -> bytes:
@@ -155,16 +157,17 @@ class WordCodec:
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return b"".join([self.spelled[t.id] for t in self.tokenize(piece)])
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if text.isalpha() and text.isascii():
-            ids = self._piece(text.lower())
-        elif not _PLAIN.fullmatch(text) or self.added and any(t in text.lower() for t in self.added):
-            ids = self._whole(text)
+        if word.isalpha():  # ASCII letters alone
+            ids = b"".join([self.spelled[t.id] for t in self.tokenize(word.lower().decode())])
         else:
-            ids = b"".join([self._piece(p.lower()) for p in _PIECES.findall(text)])
+            text = word.decode()
+            if not _PLAIN.fullmatch(text) or self.added and any(t in text.lower() for t in self.added):
+                ids = self._whole(text)
+            else:
+                ids = b"".join([self._piece(p.lower()) for p in _PIECES.findall(text)])
         return self.words.keep(word, ids)
 
     def encode(self, texts) -> list[np.ndarray]:
