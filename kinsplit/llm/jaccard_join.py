@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from kinsplit.llm.tokens import shingle_hashes, text_bytes, word_hashes
 from kinsplit.llm.util import small_batches
+from kinsplit.llm.worker import let_go, release
 from kinsplit.plans.components import connected_components
 from kinsplit.plans.scratch import stored
 
@@ -198,6 +199,7 @@ def shapes_and_frequent(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             column = lambda values, kind="Int64": pd.Series(list(values), dtype=kind)
             return pd.DataFrame({"doc_id": column(doc_ids, object), "text_hash": column(hashes), "n_shingles": column(r[0] for r in found), "node": column(r[1] for r in found), "point": column((r[2] for r in found), object), "shingle": column(keys), "n": column(counts)})
 
+        let_go()
         frequent = Frequent()
         for part in batches:
             found = []
@@ -226,6 +228,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash + 1))  # at most FREQUENT entries
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         hot, rank = shared.value
         done: set[int] = set()
 
@@ -272,6 +275,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shapes: DataFrame) -> DataFrame
     @F.pandas_udf("binary")
     def set_of(texts: pd.Series, names: pd.Series) -> pd.Series:
         own = map(shingles, texts)  # null where another text has the same hash
+        release()
         return pd.Series([x.tobytes() if node_of(x) == n else None for x, n in zip(own, names)])
 
     @F.pandas_udf("boolean")
@@ -281,6 +285,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shapes: DataFrame) -> DataFrame
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             common = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+        release()
         return pd.Series(out, dtype=bool)
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -317,6 +322,7 @@ def _searched(blocks: DataFrame, shapes: DataFrame, labels: DataFrame, best: boo
     pointed = dealt.join(shapes.select("node", "n_shingles", "point"), "node").repartition("sig", "row", "col").sortWithinPartitions("sig", "row", "col")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         rest: pd.DataFrame | None = None
         seen: set[tuple[int, int]] = set()  # pairs meet in many blocks
         for part in batches:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from kinsplit.llm.tokens import text_bytes, word_hashes
 from kinsplit.llm.util import fold
+from kinsplit.llm.worker import let_go
 
 POSITIVE_ROWS, UNLABELLED_ROWS = 4000, 6000
 #: With fewer of either there is no model: every text scores 0.5, and a warning says so.
@@ -192,6 +193,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Model(*parts)
+        let_go()
         for texts in batches:
             yield pd.Series(own.scores(np.array([features(t) for t in texts]).reshape(-1, N_FEATURES)))
 
