@@ -170,9 +170,19 @@ class Report:
     errors: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     advisories: list[str] = field(default_factory=list)
+    heads: DataFrame | None = None  # of a graph: the issues without their gathered ids
+    members: DataFrame | None = None  # of a graph: a row for each id that an issue names
+
+    def sizes(self) -> DataFrame:
+        """severity, code, message and details of the issues, with ``n_nodes`` and ``n_edges`` that each names."""
+        held = self.members.join(self.heads.filter("gathers").select("_rule").distinct(), "_rule", "left_semi")
+        n = held.groupBy("_rule", "_order").agg(F.count_if(F.col("part") < 2).alias("_nodes"), F.count_if(F.col("part") == 2).alias("_edges"))
+        count = lambda gathered, own: F.coalesce(gathered, F.size(own).cast("long"))
+        return self.heads.join(n, ["_rule", "_order"], "left").select("severity", "code", "message", "details", count("_nodes", "node_ids").alias("n_nodes"), count("_edges", "edge_ids").alias("n_edges"))
 
     def summary(self) -> dict[str, Any]:
-        by = {f"by_{c}": counts(self.df, c) for c in ("level", "severity", "code") if c in self.df.columns}
+        table = self.df if self.heads is None else self.heads
+        by = {f"by_{c}": counts(table, c) for c in ("level", "severity", "code") if c in table.columns}
         return {"n_issues": sum(by["by_severity"].values())} | by
 
     def __repr__(self) -> str:

@@ -119,9 +119,9 @@ def summarize_leakage_risks(graph: DependencyGraph, constraint: SplitConstraint
         rows += _spec_rows(split_spec)
     schema = "severity string, category string, message string, source string, n_affected int"
     extra = graph.nodes.sparkSession.createDataFrame(rows, schema)
-    own = validation.df.select("severity", F.col("code").alias("category"), "message", F.lit("validation").alias("source"), F.size("node_ids").alias("n_affected"))
+    own = validation.sizes().select("severity", F.col("code").alias("category"), "message", F.lit("validation").alias("source"), F.col("n_nodes").cast("int").alias("n_affected"))
     table = reduce(DataFrame.unionByName, [own, extra])
-    n = table.count()
+    n = validation.heads.count() + len(rows)
     what = "validation" + (", constraint" if constraint else "") + (", and split-spec readiness" if split_spec else "")
     overview = f"Detected {n} structural leakage diagnostics across {what}." if n else "No structural leakage risks were detected."
     keys = {k: graph.metadata.get(k) for k in ("graph_name", "dataset_name")}

@@ -1,22 +1,52 @@
-"""Validation in three layers. Every rule is a DataFrame of issues; all run as one union."""
+"""Validation in three layers. The issues of all rules are found as one union; the ids they name stand apart."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
-from functools import reduce
+import math
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsplit.functions.columns import attribute_text, joined, present
+from kinsplit.functions.columns import attribute_text, first_ids, listing, present
 from kinsplit.functions.schema import DERIVATION_SCOPES, EDGE_TYPES, LEVELS, NODE_TYPES, OBSERVATION_LEVELS, SEVERITIES, SINGLE_TARGET, DepGraphError, check
-from kinsplit.model import DependencyGraph, Report
+from kinsplit.model import DependencyGraph, Report, counts
 from kinsplit.operators.constraints import deprecated
 from kinsplit.operators.time_order import consistency
 from kinsplit.plans.scratch import stored
 
+#: Parts of an issue's ids: nodes in order, nodes listed after them, edges.
+NODES, MORE, EDGES = 0, 1, 2
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule's issues and, apart from them, the ids they name, so that no row need hold all of them.
+
+    ``heads`` has one row for each issue. Issues of one or two ids carry them; others have
+    them in ``members``: ``_order`` of the issue, ``part`` and ``id``, each once. Nothing is
+    planned before it is asked for. ``listed`` are the ids (column ``id``) that end the message.
+    """
+
+    severity: str
+    code: str
+    heads: Callable[[], DataFrame]
+    members: Callable[[], DataFrame] | None = None
+    listed: Callable[[], DataFrame] | None = None
+    text: str = ""
+
+    def ids(self) -> DataFrame:
+        """``_order``, ``part`` and ``id`` of all nodes and edges that the issues name."""
+        if self.members is not None:
+            return self.members()
+        both = F.expr(f"concat(transform(node_ids, x -> named_struct('part', {NODES}, 'id', x)), transform(edge_ids, x -> named_struct('part', {EDGES}, 'id', x)))")
+        return self.heads().select("_order", F.inline(both))
+
+
 def _no_ids() -> Column:
     return F.array().cast("array<string>")
 
@@ -35,79 +65,127 @@ def _issue(frame: DataFrame, level: str, severity: str, code: str, message: Colu
     )
 
 
-def _one(frame: DataFrame, level: str, severity: str, code: str, text: str, nodes: str | None = None, edges: str | None = None, listed: str | None = None, more: str | None = None, details: Mapping[str, Any] | None = None) -> DataFrame:
-    """A single issue for all rows of ``frame``, none if it is empty; ids in bytewise order, those of ``more`` after ``nodes``."""
-    ids = lambda c: F.array_sort(F.collect_set(c)) if c else _no_ids()
-    gathered = frame.agg(F.count(F.lit(1)).alias("n"), ids(nodes).alias("nodes"), ids(more).alias("more"), ids(edges).alias("edges"), (joined(F.col(f"`{listed}`").cast("string")) if listed else F.lit("")).alias("list"))
-    return _issue(gathered.filter("n > 0"), level, severity, code, F.concat(F.lit(text), "list"), F.concat("nodes", "more"), F.col("edges"), details=details)
+def _each(frame: Callable[[], DataFrame], level: str, severity: str, code: str, *args: Any, **options: Any) -> Rule:
+    """A rule with one issue for each row of ``frame``, whose ids are in the row."""
+    return Rule(severity, code, lambda: _issue(frame(), level, severity, code, *args, **options))
+
+
+def _part(frame: DataFrame, part: int, id: str, order: Column | None = None) -> DataFrame:
+    own = frame.select((order if order is not None else F.lit("")).alias("_order"), F.lit(part).alias("part"), F.col(f"`{id}`").cast("string").alias("id"))
+    return own.filter("id is not null").distinct()
+
+
+def _one(frame: Callable[[], DataFrame], level: str, severity: str, code: str, text: str, nodes: str | None = None, edges: str | None = None, listed: str | None = None, more: str | None = None, details: Mapping[str, Any] | None = None, some: Callable[[], DataFrame] | None = None) -> Rule:
+    """A single issue for all rows of ``frame``, none if it is empty; ids of ``more`` come after ``nodes``.
+
+    ``some`` is a frame that is cheaper to make and empty where ``frame`` is.
+    """
+    columns = [(c, p) for c, p in ((nodes, NODES), (more, MORE), (edges, EDGES)) if c]
+    return Rule(
+        severity,
+        code,
+        lambda: _issue((some or frame)().limit(1), level, severity, code, text, details=details),
+        (lambda: reduce(DataFrame.unionByName, [_part(frame(), p, c) for c, p in columns])) if columns else None,
+        (lambda: frame().select(F.col(f"`{listed}`").cast("string").alias("id")).filter("id is not null")) if listed else None,
+        text,
+    )
 
 
 def _absent(name: str) -> Column:
     return ~F.coalesce(present(F.col(name)), F.lit(False))
 
 
-def structural(graph: DependencyGraph) -> list[DataFrame]:
-    nodes, edges, level = graph.nodes, graph.edges, "structural"
-    again = edges.groupBy("from", "to", "edge_type").count().filter("count > 1").drop("count")
+class Facts:
+    """What several rules ask of a graph, found once and only if asked."""
+
+    def __init__(self, graph: DependencyGraph):
+        self.graph = graph
+
+    @cached_property
+    def relations(self) -> dict[str, int]:
+        return counts(self.graph.edges, "edge_type")
+
+    @cached_property
+    def types(self) -> dict[str, int]:
+        return counts(self.graph.nodes, "node_type")
+
+    def has(self, relation: str) -> bool:
+        return relation in self.relations
+
+    @cached_property
+    def faulty(self) -> DataFrame:
+        """Edges with a missing end or with ends of wrong types: s, t (wanted), fs, ft (found), no_from, no_to."""
+        nodes, edges = self.graph.nodes, self.graph.edges
+        wanted = nodes.sparkSession.createDataFrame([(e.name, e.source, e.target) for e in EDGE_TYPES.values()], "edge_type string, s string, t string")
+        kinds = nodes.groupBy("node_id").agg(F.min("node_type").alias("k"))  # an id listed twice is no second edge
+        end = lambda side, kind: kinds.select(F.col("node_id").alias(side), F.struct("k").alias(kind))
+        own = edges.select("edge_id", "from", "to", "edge_type").join(end("from", "_f"), "from", "left").join(end("to", "_t"), "to", "left").join(F.broadcast(wanted), "edge_type", "left")
+        own = own.select("edge_id", "from", "to", "edge_type", "s", "t", F.col("_f.k").alias("fs"), F.col("_t.k").alias("ft"), F.isnull("_f").alias("no_from"), F.isnull("_t").alias("no_to"))
+        return stored(own.filter("no_from or no_to or fs <> s or ft <> t"))
+
+
+def structural(graph: DependencyGraph) -> list[Rule]:
+    nodes, edges, level, facts = graph.nodes, graph.edges, "structural", Facts(graph)
+    triplet = ["from", "to", "edge_type"]
+    again = lambda frame, *c: frame.groupBy(*c).count().filter("count > 1").drop("count")
     out = [
-        _one(nodes.filter(_absent("node_id")), level, "error", "missing_node_id", "Node table contains missing or empty `node_id` values."),
-        _one(nodes.groupBy("node_id").count().filter("count > 1"), level, "error", "duplicate_node_id", "Node table contains duplicated `node_id` values: ", nodes="node_id", listed="node_id"),
-        _one(edges.filter(_absent("edge_id")), level, "error", "missing_edge_id", "Edge table contains missing or empty `edge_id` values."),
-        _one(edges.groupBy("edge_id").count().filter("count > 1"), level, "error", "duplicate_edge_id", "Edge table contains duplicated `edge_id` values: ", edges="edge_id", listed="edge_id"),
-        _one(edges.join(again, ["from", "to", "edge_type"], "left_semi"), level, "error", "duplicate_edge_triplet", "Edge table contains duplicate `(from, to, edge_type)` relations.", edges="edge_id"),
+        _one(lambda: nodes.filter(_absent("node_id")), level, "error", "missing_node_id", "Node table contains missing or empty `node_id` values."),
+        _one(lambda: again(nodes, "node_id"), level, "error", "duplicate_node_id", "Node table contains duplicated `node_id` values: ", nodes="node_id", listed="node_id"),
+        _one(lambda: edges.filter(_absent("edge_id")), level, "error", "missing_edge_id", "Edge table contains missing or empty `edge_id` values."),
+        _one(lambda: again(edges, "edge_id"), level, "error", "duplicate_edge_id", "Edge table contains duplicated `edge_id` values: ", edges="edge_id", listed="edge_id"),
+        _one(lambda: edges.join(again(edges, *triplet), triplet, "left_semi"), level, "error", "duplicate_edge_triplet", "Edge table contains duplicate `(from, to, edge_type)` relations.", edges="edge_id", some=lambda: again(edges, *triplet).filter("`from` is not null and `to` is not null and edge_type is not null")),
     ]
     for side, code, word in (("from", "missing_source_node", "source"), ("to", "missing_target_node", "target")):
-        lost = edges.select(F.col(side).alias("node_id")).join(nodes, "node_id", "left_anti")
-        out.append(_one(lost, level, "error", code, f"Edges reference missing {word} nodes: ", nodes="node_id", listed="node_id"))
-    out.append(_one(nodes.filter(~F.coalesce(F.col("node_type").isin(list(NODE_TYPES)), F.lit(False))), level, "error", "unsupported_node_type", "Unsupported node types found: ", listed="node_type"))
-    out.append(_issue(edges.filter(~F.coalesce(F.col("edge_type").isin(list(EDGE_TYPES)), F.lit(False))), level, "error", "unsupported_edge_type", F.concat(F.lit("Unknown edge type encountered: "), F.coalesce("edge_type", F.lit("NA"))), edges=F.array("edge_id"), order=F.col("edge_id")))
-    wanted = nodes.sparkSession.createDataFrame([(e.name, e.source, e.target) for e in EDGE_TYPES.values()], "edge_type string, s string, t string")
-    kinds = nodes.groupBy("node_id").agg(F.min("node_type").alias("node_type"))  # an id listed twice is no second edge
-    typed = edges.join(F.broadcast(wanted), "edge_type").join(kinds.select(F.col("node_id").alias("from"), F.col("node_type").alias("fs")), "from", "left").join(kinds.select(F.col("node_id").alias("to"), F.col("node_type").alias("ft")), "to", "left")
-    wrong = typed.filter((F.col("fs") != F.col("s")) | (F.col("ft") != F.col("t")))
+        out.append(_one(lambda side=side: facts.faulty.filter(f"no_{side}"), level, "error", code, f"Edges reference missing {word} nodes: ", nodes=side, listed=side))
+    out.append(_one(lambda: nodes.filter(~F.coalesce(F.col("node_type").isin(list(NODE_TYPES)), F.lit(False))), level, "error", "unsupported_node_type", "Unsupported node types found: ", listed="node_type"))
+    out.append(_each(lambda: edges.filter(~F.coalesce(F.col("edge_type").isin(list(EDGE_TYPES)), F.lit(False))), level, "error", "unsupported_edge_type", F.concat(F.lit("Unknown edge type encountered: "), F.coalesce("edge_type", F.lit("NA"))), edges=F.array("edge_id"), order=F.col("edge_id")))
     text = F.concat(F.lit("Edge `"), "edge_id", F.lit("` violates schema for `"), "edge_type", F.lit("` (expected "), "s", F.lit(" -> "), "t", F.lit(", found "), F.coalesce("fs", F.lit("NA")), F.lit(" -> "), F.coalesce("ft", F.lit("NA")), F.lit(")."))
-    out.append(_issue(wrong, level, "error", "invalid_edge_signature", text, nodes=F.array("from", "to"), edges=F.array("edge_id"), order=F.col("edge_id")))
+    out.append(_each(lambda: facts.faulty.filter("fs <> s or ft <> t"), level, "error", "invalid_edge_signature", text, nodes=F.array("from", "to"), edges=F.array("edge_id"), order=F.col("edge_id")))
     for relation in SINGLE_TARGET:
-        out.append(_one(_several(graph, relation), level, "error", "single_target_violation", f"Edge type `{relation}` links a source node to multiple targets: ", nodes="from", edges="edge_id", listed="from", details={"edge_type": relation}))
+        out.append(_several(facts, relation, level, "single_target_violation", f"Edge type `{relation}` links a source node to multiple targets: "))
     return out
 
 
-def _several(graph: DependencyGraph, relation: str) -> DataFrame:
+def _several(facts: Facts, relation: str, level: str, code: str, text: str, more: str | None = None) -> Rule:
     """The edges of a relation from sources with two or more distinct targets."""
-    own = graph.relation(relation)
-    return own.join(own.groupBy("from").agg(F.min("to").alias("a"), F.max("to").alias("b")).filter("a <> b").select("from"), "from", "left_semi")
+    own = facts.graph.relation(relation)
+    sources = lambda: own.groupBy("from").agg(F.min("to").alias("a"), F.max("to").alias("b")).filter("a <> b and `from` is not null").select("from")
+    return _one(lambda: own.join(sources(), "from", "left_semi"), level, "error", code, text, nodes="from", more=more, edges="edge_id", listed="from", details={"edge_type": relation}, some=sources)
 
 
-def semantic(graph: DependencyGraph, overrides: Mapping[str, Any]) -> list[DataFrame]:
-    level, nodes = "semantic", graph.nodes
+def semantic(graph: DependencyGraph, overrides: Mapping[str, Any]) -> list[Rule]:
+    level, nodes, facts = "semantic", graph.nodes, Facts(graph)
     by_type = lambda names: F.try_element_at(F.create_map(*[x for t in NODE_TYPES.values() for x in (F.lit(t.name), F.array(*map(F.lit, names(t))).cast("array<string>"))]), F.col("node_type"))
-    held = nodes.withColumn("keys", F.coalesce(F.json_object_keys(F.to_json("attrs")), _no_ids()))
-    lacking = held.withColumn("bad", F.array_except(by_type(lambda t: t.required), "keys")).filter(F.size("bad") > 0)
-    unknown = held.withColumn("bad", F.array_except("keys", by_type(lambda t: (t.key, *t.required, *t.optional)))).filter(F.size("bad") > 0)
+    held = lambda: nodes.withColumn("keys", F.coalesce(F.json_object_keys(F.to_json("attrs")), _no_ids()))
+    lacking = lambda: held().withColumn("bad", F.array_except(by_type(lambda t: t.required), "keys")).filter(F.size("bad") > 0)
+    unknown = lambda: held().filter(F.size("keys") > 0).withColumn("bad", F.array_except("keys", by_type(lambda t: (t.key, *t.required, *t.optional)))).filter(F.size("bad") > 0)
     out = [
-        _issue(frame, level, severity, code, F.concat(F.lit("Node `"), "node_id", F.lit(f"` {text}: "), F.array_join("bad", ", ")), F.array("node_id"), order=F.col("node_id"))
+        _each(frame, level, severity, code, F.concat(F.lit("Node `"), "node_id", F.lit(f"` {text}: "), F.array_join("bad", ", ")), F.array("node_id"), order=F.col("node_id"))
         for frame, severity, code, text in ((lacking, "error", "missing_required_node_attr", "is missing required attributes"), (unknown, "warning", "non_canonical_node_attr", "contains non-canonical attributes"))
     ]
-    samples = graph.of_type("Sample")
-    in_study = graph.relation("sample_from_study")
-    any_study = nodes.filter("node_type = 'Study'").select("node_id").unionByName(in_study.select(F.col("edge_id").alias("node_id"))).limit(1).agg(F.count("*").alias("some"))
-    lone = samples.join(in_study.select(F.col("from").alias("node_id")), "node_id", "left_anti").crossJoin(F.broadcast(any_study)).filter("some > 0")  # one row
+    samples, in_study = graph.of_type("Sample"), graph.relation("sample_from_study")
+
+    def lone() -> DataFrame:
+        if not facts.has("sample_from_study") and graph.of_type("Study").isEmpty():
+            return samples.limit(0)
+        return samples.join(in_study.select(F.col("from").alias("node_id")), "node_id", "left_anti")
+
     out.append(_one(lone, level, "warning", "sample_missing_study_assignment", "Samples missing required relation `sample_from_study`: ", nodes="node_id", listed="node_id", details={"edge_type": "sample_from_study"}))
     for word, relation in (("subject", "sample_belongs_to_subject"), ("study", "sample_from_study"), ("batch", "sample_processed_in_batch")):
         if word == "subject" and overrides.get("allow_multi_subject_samples") is True:
             continue
-        out.append(_one(_several(graph, relation), level, "error", f"sample_multiple_{word}_assignments", f"Samples violate relation cardinality for `{relation}`: ", nodes="from", more="to", edges="edge_id", listed="from", details={"edge_type": relation}))
+        out.append(_several(facts, relation, level, f"sample_multiple_{word}_assignments", f"Samples violate relation cardinality for `{relation}`: ", more="to"))
     for kind, name, values, code in (("FeatureSet", "derivation_scope", DERIVATION_SCOPES, "invalid_featureset_derivation_scope"), ("Outcome", "observation_level", OBSERVATION_LEVELS, "invalid_outcome_observation_level")):
-        own = graph.of_type(kind).withColumn("v", attribute_text(name)).filter(F.col("v").isNotNull() & ~F.col("v").isin(list(values)))
-        out.append(_issue(own, level, "warning", code, F.concat(F.lit(f"{kind} node `"), "node_id", F.lit(f"` has invalid `{name}`: "), "v"), F.array("node_id"), order=F.col("node_id")))
-    times = graph.of_type("Timepoint").filter(attribute_text("time_index").isNotNull() & F.expr("try_variant_get(attrs, '$.time_index', 'double') is null"))
-    out.append(_issue(times, level, "warning", "invalid_time_index", F.concat(F.lit("Timepoint node `"), "node_id", F.lit("` has a non-numeric `time_index`.")), F.array("node_id"), order=F.col("node_id")))
+        own = lambda kind=kind, name=name, values=values: graph.of_type(kind).withColumn("v", attribute_text(name)).filter(F.col("v").isNotNull() & ~F.col("v").isin(list(values)))
+        out.append(_each(own, level, "warning", code, F.concat(F.lit(f"{kind} node `"), "node_id", F.lit(f"` has invalid `{name}`: "), "v"), F.array("node_id"), order=F.col("node_id")))
+    times = lambda: graph.of_type("Timepoint").filter(attribute_text("time_index").isNotNull() & F.expr("try_variant_get(attrs, '$.time_index', 'double') is null"))
+    out.append(_each(times, level, "warning", "invalid_time_index", F.concat(F.lit("Timepoint node `"), "node_id", F.lit("` has a non-numeric `time_index`.")), F.array("node_id"), order=F.col("node_id")))
     state, spark = consistency(graph), nodes.sparkSession
 
     def fixed(code: str, text: str, edges: list[str], ends: list[str]) -> None:
         if edges:
             row = spark.createDataFrame([(sorted(set(ends)), edges)], "n array<string>, e array<string>")
-            out.append(_issue(row, level, "error", code, text, F.col("n"), F.col("e")))
+            out.append(_each(lambda: row, level, "error", code, text, F.col("n"), F.col("e")))
 
     fixed("timepoint_self_loop", "`timepoint_precedes` contains self-loops.", [e for e, _ in state.self_loops], [])
     if state.cycle:
@@ -117,40 +195,56 @@ def semantic(graph: DependencyGraph, overrides: Mapping[str, Any]) -> list[DataF
     return out
 
 
-def _members(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """The targets (column ``to``) with their samples and edges; only these are gathered."""
-    return edges.join(targets.select("to"), "to", "left_semi").groupBy("to").agg(F.array_sort(F.collect_set("from")).alias("s"), F.array_sort(F.collect_set("edge_id")).alias("e"))
-
-
 def _shared(edges: DataFrame) -> DataFrame:
-    """Targets of two samples or more."""
-    return _members(edges, edges.groupBy("to").agg(F.min("from").alias("a"), F.max("from").alias("b")).filter("a <> b"))
+    """Targets (column ``to``) of two samples or more."""
+    return edges.groupBy("to").agg(F.min("from").alias("a"), F.max("from").alias("b")).filter("a <> b").select("to")
 
 
-def leakage(graph: DependencyGraph) -> list[DataFrame]:
+def leakage(graph: DependencyGraph) -> list[Rule]:
     level = "leakage"
 
-    def found(frame: DataFrame, severity: str, code: str, kind: str, text: str, nodes: Column, edges: Column | None = None) -> DataFrame:
-        return _issue(frame, level, severity, code, F.concat(F.lit(f"{kind} `"), "to", F.lit(f"` {text}")), nodes, edges, order=F.col("to"))
-
-    whole = F.concat(F.array("to"), F.col("s"))
-    subjects, studies = graph.relation("sample_belongs_to_subject"), graph.relation("sample_from_study")
-    both = subjects.select("from", "to").join(studies.select("from", F.col("to").alias("study")), "from").select("from", "to", "study")
-    crossing = both.groupBy("to").agg(F.min("study").alias("a"), F.max("study").alias("b")).filter("a <> b")
-    per_dataset = graph.of_type("FeatureSet").filter(attribute_text("derivation_scope") == "per_dataset").select(F.col("node_id").alias("to"))
-    batches = graph.relation("sample_processed_in_batch")
-    total = graph.of_type("Sample").agg(F.greatest(F.lit(3), F.ceil(F.count("*") * 0.5)).alias("limit"))
-    heavy = batches.groupBy("to").agg(F.count_distinct("from").alias("n")).crossJoin(F.broadcast(total)).filter(F.col("n") >= F.col("limit"))  # one row
-    facts = graph.edges.agg(F.count_if(F.col("edge_type") == "sample_collected_at_timepoint").alias("linked"), F.count_if(F.col("edge_type") == "timepoint_precedes").alias("ordered"))
-    indexed = graph.of_type("Timepoint").agg(F.count_if(attribute_text("time_index").isNotNull()).alias("indexed"))
-    none = facts.crossJoin(indexed).filter("linked > 0 and ordered = 0 and indexed = 0")  # one row each
+    def found(targets: Callable[[], DataFrame], severity: str, code: str, kind: str, text: str, edges: Callable[[], DataFrame], parts: Sequence[int]) -> Rule:
+        """An issue for each target; its samples and edges, as far as ``parts`` asks for them."""
+        ids = {MORE: "from", EDGES: "edge_id"}
+
+        def members() -> DataFrame:
+            own = edges().join(targets(), "to", "left_semi")
+            return reduce(DataFrame.unionByName, [_part(targets(), NODES, "to", F.col("to")), *[_part(own, p, ids[p], F.col("to")) for p in parts]])
+
+        return Rule(severity, code, lambda: _issue(targets(), level, severity, code, F.concat(F.lit(f"{kind} `"), "to", F.lit(f"` {text}")), order=F.col("to")), members)
+
+    subjects, studies, batches, sets = (graph.relation(r) for r in ("sample_belongs_to_subject", "sample_from_study", "sample_processed_in_batch", "sample_uses_featureset"))
+    facts = Facts(graph)
+
+    def both() -> DataFrame:
+        return subjects.select("from", "to").join(studies.select("from", F.col("to").alias("study")), "from").select("from", "to", "study")
+
+    def crossing() -> DataFrame:
+        if not (facts.has("sample_belongs_to_subject") and facts.has("sample_from_study")):
+            return subjects.select("to").limit(0)
+        return both().groupBy("to").agg(F.min("study").alias("a"), F.max("study").alias("b")).filter("a <> b").select("to")
+
+    def heavy() -> DataFrame:
+        limit = max(3, math.ceil(facts.types.get("Sample", 0) * 0.5))
+        # A node's samples are as many as its edges at most, so few nodes are left to count exactly.
+        likely = batches.groupBy("to").count().filter(F.col("count") >= limit).select("to")
+        return batches.join(likely, "to", "left_semi").select("to", "from").distinct().groupBy("to").count().filter(F.col("count") >= limit).select("to")
+
+    def none() -> DataFrame:
+        row = graph.nodes.sparkSession.range(1)
+        if not facts.has("sample_collected_at_timepoint") or facts.has("timepoint_precedes"):
+            return row.limit(0)
+        indexed = graph.of_type("Timepoint").agg(F.count_if(attribute_text("time_index").isNotNull()).alias("indexed"))
+        return indexed.filter("indexed = 0")
+
+    per_dataset = lambda: graph.of_type("FeatureSet").filter(attribute_text("derivation_scope") == "per_dataset").select(F.col("node_id").alias("to"))
     return [
-        found(_shared(subjects), "advisory", "repeated_subject_samples", "Subject", "is linked to multiple samples.", whole, F.col("e")),
-        found(_members(both.withColumn("edge_id", F.lit("")), crossing), "warning", "subject_cross_study_overlap", "Subject", "appears across multiple studies.", whole),
-        found(per_dataset, "advisory", "per_dataset_featureset", "FeatureSet", "was derived at the full-dataset scope.", F.array("to")),
-        found(_shared(graph.relation("sample_uses_featureset")), "advisory", "shared_featureset_provenance", "FeatureSet", "is shared across multiple samples.", whole, F.col("e")),
-        _issue(none, level, "warning", "missing_time_ordering", "Timepoint-linked samples exist but no explicit time ordering metadata were found."),
-        found(_members(batches, heavy), "advisory", "heavy_batch_reuse", "Batch", "is reused across many samples.", F.array("to"), F.col("e")),
+        found(lambda: _shared(subjects), "advisory", "repeated_subject_samples", "Subject", "is linked to multiple samples.", lambda: subjects, (MORE, EDGES)),
+        found(crossing, "warning", "subject_cross_study_overlap", "Subject", "appears across multiple studies.", both, (MORE,)),
+        _each(per_dataset, level, "advisory", "per_dataset_featureset", F.concat(F.lit("FeatureSet `"), "to", F.lit("` was derived at the full-dataset scope.")), F.array("to"), order=F.col("to")),
+        found(lambda: _shared(sets), "advisory", "shared_featureset_provenance", "FeatureSet", "is shared across multiple samples.", lambda: sets, (MORE, EDGES)),
+        _each(none, level, "warning", "missing_time_ordering", "Timepoint-linked samples exist but no explicit time ordering metadata were found."),
+        found(heavy, "advisory", "heavy_batch_reuse", "Batch", "is reused across many samples.", lambda: batches, (EDGES,)),
     ]
 
 
@@ -159,11 +253,15 @@ _OLD_CHECKS = {"ids": ("structural",), "references": ("structural",), "cardinali
 
 #: Messages of each severity that a report lists on the driver.
 MESSAGES = 1000
+#: Ids that the message of one issue lists; the number of the others follows. ``Report.members`` has all.
+LISTED = 1000
 
 
 def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None, error_on_fail: bool = False, levels: Sequence[str] = LEVELS, severities: Sequence[str] = SEVERITIES, validation_overrides: Mapping[str, Any] | None = None) -> Report:
     """Issues of the selected layers; ``severities`` filters what is shown, not ``valid``.
 
+    Issues and the ids they name are apart in ``Report.heads`` and ``Report.members``;
+    ``Report.df`` brings them together, one row for each issue, when it is read.
     The report's lists of messages hold the first ``MESSAGES`` of each severity and then
     the number of the others; its table and counts are whole.
     """
@@ -178,23 +276,35 @@ def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None,
     graph = graph.stored  # each rule reads it
     overrides = graph.metadata.get("validation_overrides", {}) | dict(validation_overrides or {})
     makers = {"structural": lambda: structural(graph), "semantic": lambda: semantic(graph, overrides), "leakage": lambda: leakage(graph)}
-    rules = [frame for lv in LEVELS if lv in levels for frame in makers[lv]()]
+    rules = [r for lv in LEVELS if lv in levels for r in makers[lv]()]
     spark = graph.nodes.sparkSession
     empty = _issue(spark.range(0), "", "", "", "").withColumn("_rule", F.lit(0))
-    every = stored(reduce(DataFrame.unionByName, [f.withColumn("_rule", F.lit(i)) for i, f in enumerate(rules)], empty))
+    every = stored(reduce(DataFrame.unionByName, [r.heads().withColumn("_rule", F.lit(i)) for i, r in enumerate(rules)], empty))
     from kinsplit.plans.numbering import numbered
 
-    named = numbered(every, ["_rule", "_order", "message"], "_number") if not every.isEmpty() else every.withColumn("_number", F.lit(0).cast("long"))
-    table = named.select(F.concat(F.lit("issue_"), F.col("_number").cast("string")).alias("issue_id"), "level", "severity", "code", "message", "node_ids", "edge_ids", "details")
+    found = {r._rule: rules[r._rule] for r in every.select("_rule").distinct().collect()}
+    lists = {i: r.text + listing(*first_ids(r.listed(), "id", LISTED)) for i, r in found.items() if r.listed is not None}
+    if lists:
+        every = every.withColumn("message", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in lists.items() for x in pair]), F.col("_rule")), "message"))
+    shown = [i for i, r in found.items() if r.severity in severities]
+    numbers = numbered(every, ["_rule", "_order", "message"], "_number") if found else every.withColumn("_number", F.lit(0).cast("long"))
+    heads = numbers.filter(F.col("severity").isin(list(severities))).withColumn("gathers", F.col("_rule").isin([i for i in shown if rules[i].members is not None]))
+    members = reduce(DataFrame.unionByName, [found[i].ids().select(F.lit(i).alias("_rule"), "_order", F.lit(found[i].severity).alias("severity"), F.lit(found[i].code).alias("code"), "part", "id") for i in shown], spark.createDataFrame([], "_rule int, _order string, severity string, code string, part int, id string"))
+    # For issues that gather ids, in one row each; those of one or two have them in the row.
+    lists_ = members.filter(F.col("_rule").isin([i for i in shown if rules[i].members is not None])).groupBy("_rule", "_order").agg(F.array_sort(F.collect_set(F.struct("part", "id"))).alias("_all"))
+    whole = heads.join(lists_, ["_rule", "_order"], "left") if any(rules[i].members is not None for i in shown) else heads.withColumn("_all", F.lit(None).cast("array<struct<part: int, id: string>>"))
+    pick = lambda edges, own: F.coalesce(F.transform(F.filter("_all", lambda x: (x["part"] == EDGES) == F.lit(edges)), lambda x: x["id"]), own).alias(own)
+    issue_id = F.concat(F.lit("issue_"), F.col("_number").cast("string")).alias("issue_id")
+    table = whole.select(issue_id, "level", "severity", "code", "message", pick(False, "node_ids"), pick(True, "edge_ids"), "details")
     n = every.groupBy("severity").agg(F.count("*").alias("rows"), F.count_distinct("message").alias("texts")).collect()
     by = {r.severity: r for r in n}
     texts = {s: [r.message for r in every.filter(F.col("severity") == s).select("message").distinct().orderBy("message").limit(MESSAGES).collect()] if s in by else [] for s in SEVERITIES}
     for s in by:
         if by[s].texts > MESSAGES:
             texts[s].append(f"... and {by[s].texts - MESSAGES} more")
-    sizes = graph.nodes.agg(F.count("*").alias("n"), F.count_if(F.col("node_type") == "Sample").alias("s")).first()
-    metrics = {"n_nodes": sizes.n, "n_samples": sizes.s, "n_edges": graph.edges.count(), "n_issues": sum(r.rows for r in n)} | {f"n_{'advisories' if s == 'advisory' else s + 's'}": by[s].texts if s in by else 0 for s in SEVERITIES}
-    report = Report("error" not in by, table.filter(F.col("severity").isin(list(severities))), metrics, {"levels": list(levels), "severities": list(severities), "validation_overrides": overrides}, texts["error"], texts["warning"], texts["advisory"])
+    sizes = Facts(graph)
+    metrics = {"n_nodes": sum(sizes.types.values()), "n_samples": sizes.types.get("Sample", 0), "n_edges": sum(sizes.relations.values()), "n_issues": sum(r.rows for r in n)} | {f"n_{'advisories' if s == 'advisory' else s + 's'}": by[s].texts if s in by else 0 for s in SEVERITIES}
+    report = Report("error" not in by, table, metrics, {"levels": list(levels), "severities": list(severities), "validation_overrides": overrides}, texts["error"], texts["warning"], texts["advisory"], heads, members)
     if error_on_fail and not report.valid:
         raise DepGraphError("Dependency graph validation failed: " + "; ".join(report.errors[:20]))
     return report

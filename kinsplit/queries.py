@@ -18,7 +18,7 @@ from kinsplit.operators.build import build_dependency_graph, dependency_graph, g
 from kinsplit.operators.constraints import derive_split_constraints
 from kinsplit.operators.paths import query_paths, query_shortest_paths
 from kinsplit.operators.split_spec import as_split_spec, summarize_leakage_risks
-from kinsplit.operators.validate import leakage, semantic, structural, validate_graph
+from kinsplit.operators.validate import EDGES, Rule, leakage, semantic, structural, validate_graph
 from kinsplit.sources.metadata import create_edges, create_nodes, ingest_metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,11 +82,10 @@ def graph(meta: DataFrame, *columns: str, numbers: bool = False, **options) -> D
     return graph_from_metadata(meta.select("sample_id", *columns), validate=False, numbers=numbers, checked=False, **options)
 
 
-def issues(rules: list[DataFrame], code: str) -> DataFrame:
-    out = None
-    for r in rules:
-        out = r if out is None else out.unionByName(r)
-    return out.filter(F.col("code") == code)
+def named(rules: list[Rule], code: str, edges: bool = False) -> DataFrame:
+    """The nodes or the edges (column ``id``) that the issues of a code name, each once for an issue."""
+    (rule,) = [r for r in rules if r.code == code]
+    return rule.ids().filter(F.col("part") == EDGES if edges else F.col("part") < EDGES).select("_order", "id").distinct().select("id")
 
 
 # ---- sources, nodes, edges ---------------------------------------------------------------
@@ -359,7 +358,7 @@ def time_order_conflicts(spark, d):
     g = graph(meta, "timepoint_id", "time_index")
     backwards = create_nodes(meta.select("timepoint_id", (-F.col("time_index")).alias("time_index")), "Timepoint", "timepoint_id", checked=False)
     wrong = dependency_graph(g.of_type("Sample").unionByName(backwards.df), g.edges)
-    return issues(semantic(wrong, {}), "time_order_conflict").select(F.explode("edge_ids").alias("edge_id"))
+    return named(semantic(wrong, {}), "time_order_conflict", edges=True).select(F.col("id").alias("edge_id"))
 
 
 def _suppliers(spark: SparkSession, d: str, dedupe: bool = True) -> DependencyGraph:
@@ -374,17 +373,17 @@ def _suppliers(spark: SparkSession, d: str, dedupe: bool = True) -> DependencyGr
 
 @registered("WITH x AS (SELECT l_orderkey AS o FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 1) SELECT 'sample:' || o AS node_id FROM x UNION SELECT 'batch:' || l_suppkey FROM lineitem JOIN x ON l_orderkey = o")
 def multi_assignment_violations(spark, d):
-    return issues(semantic(_suppliers(spark, d), {}), "sample_multiple_batch_assignments").select(F.explode("node_ids").alias("node_id"))
+    return named(semantic(_suppliers(spark, d), {}), "sample_multiple_batch_assignments").select(F.col("id").alias("node_id"))
 
 
 @registered("SELECT 'sample:' || o_orderkey AS node_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def missing_assignment(spark, d):
-    return issues(semantic(_suppliers(spark, d), {}), "sample_missing_study_assignment").select(F.explode("node_ids").alias("node_id"))
+    return named(semantic(_suppliers(spark, d), {}), "sample_missing_study_assignment").select(F.col("id").alias("node_id"))
 
 
 @registered("SELECT DISTINCT 'sample_processed_in_batch:sample:' || l_orderkey || '->batch:' || l_suppkey AS edge_id FROM (SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT DISTINCT 'sample_from_study:sample:' || l_orderkey || '->study:' || l_suppkey FROM (SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY ALL HAVING count(*) > 1)")
 def duplicate_triplets(spark, d):
-    return issues(structural(_suppliers(spark, d, dedupe=False)), "duplicate_edge_triplet").select(F.explode("edge_ids").alias("edge_id"))
+    return named(structural(_suppliers(spark, d, dedupe=False)), "duplicate_edge_triplet", edges=True).select(F.col("id").alias("edge_id"))
 
 
 @registered(ORDERS + "SELECT DISTINCT 'subject:' || p AS node_id FROM m WHERE st IS NULL OR CAST(st AS INT) >= 10")
@@ -393,7 +392,7 @@ def dangling_edges(spark, d):
     meta = orders(spark, d)
     g = graph(meta, "subject_id")
     some = create_nodes(meta.filter("study_id < 10").select("subject_id"), "Subject", "subject_id", checked=False)
-    return issues(structural(dependency_graph(g.of_type("Sample").unionByName(some.df), g.edges)), "missing_target_node").select(F.explode("node_ids").alias("node_id"))
+    return named(structural(dependency_graph(g.of_type("Sample").unionByName(some.df), g.edges)), "missing_target_node").select(F.col("id").alias("node_id"))
 
 
 @registered(ORDERS + "SELECT 'invalid_edge_signature' AS code, 'sample_from_study:sample:' || s || '->batch:' || b AS edge_id FROM m UNION ALL SELECT 'unsupported_edge_type', 'mystery:sample:' || s || '->batch:' || b FROM m")
@@ -402,14 +401,15 @@ def edge_signature_violations(spark, d):
     g = graph(orders(spark, d), "batch_id")
     renamed = [g.edges.withColumns({"edge_type": F.lit(r), "edge_id": F.concat(F.lit(f"{r}:"), "from", F.lit("->"), "to")}) for r in ("sample_from_study", "mystery")]
     rules = structural(dependency_graph(g.nodes, renamed[0].unionByName(renamed[1])))
-    both = [issues(rules, c) for c in ("invalid_edge_signature", "unsupported_edge_type")]
-    return both[0].unionByName(both[1]).select("code", F.explode("edge_ids").alias("edge_id"))
+    both = [named(rules, c, edges=True).select(F.lit(c).alias("code"), F.col("id").alias("edge_id")) for c in ("invalid_edge_signature", "unsupported_edge_type")]
+    return both[0].unionByName(both[1])
 
 
 def _reuse(g: DependencyGraph, code: str) -> DataFrame:
     """The issue's node, the number of samples behind it, listed as nodes or else by their edges."""
-    n = F.when(F.size("node_ids") > 1, F.size("node_ids") - 1).otherwise(F.size("edge_ids"))
-    return issues(leakage(g), code).select(F.get("node_ids", F.lit(0)).alias("node_id"), n.cast("long").alias("n"), "severity")
+    (rule,) = [r for r in leakage(g) if r.code == code]
+    found = rule.ids().groupBy(F.col("_order").alias("node_id")).agg(F.count_if(F.col("part") < EDGES).alias("nodes"), F.count_if(F.col("part") == EDGES).alias("edges"))
+    return found.select("node_id", F.when(F.col("nodes") > 1, F.col("nodes") - 1).otherwise(F.col("edges")).alias("n"), F.lit(rule.severity).alias("severity"))
 
 
 @registered(ORDERS + "SELECT 'subject:' || p AS node_id, count(*) AS n, 'advisory' AS severity FROM m GROUP BY p HAVING count(*) > 1")
@@ -436,7 +436,7 @@ def heavy_batch_reuse(spark, d):
 @registered(ORDERS + ", i AS (SELECT 'advisory' AS severity, 'repeated_subject_samples' AS code FROM m GROUP BY p HAVING count(*) > 1) SELECT severity, code, count(*) AS n FROM i GROUP BY ALL UNION ALL SELECT 'advisory', 'heavy_batch_reuse', count(*) FROM (SELECT b FROM m GROUP BY b HAVING count(*) >= greatest(3, ceil(0.5 * (SELECT count(*) FROM m)))) HAVING count(*) > 0")
 def validation_counts_by_severity(spark, d):
     g = graph(orders(spark, d), "subject_id", "batch_id", "study_id", "timepoint_id", "time_index")
-    return validate_graph(g).df.groupBy("severity", "code").agg(F.count("*").alias("n"))
+    return validate_graph(g).heads.groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
 @registered(ORDERS + ", g AS (SELECT p, count(*) AS n FROM m GROUP BY p), a AS (SELECT count(*) AS n FROM m) SELECT 'advisory' AS severity, 'repeated_subject_samples' AS category, 'validation' AS source, CAST(n + 1 AS INT) AS n_affected, 'Subject `subject:' || p || '` is linked to multiple samples.' AS message FROM g WHERE n > 1 UNION ALL SELECT 'advisory', 'split_spec_ready', 'split_spec', CAST(n AS INT), 'Split spec passed preflight validation.' FROM a UNION ALL SELECT 'advisory', 'ordering_available', 'split_spec', CAST(n AS INT), 'Split spec provides ordering through `order_rank` for ' || n || ' of ' || n || ' samples.' FROM a")
