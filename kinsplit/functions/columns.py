@@ -12,6 +12,19 @@ def present(column: Column) -> Column:
     return column.isNotNull() & (column.cast("string") != "")
 
 
+def _shortest(column: Column, kind: T.DataType) -> Column:
+    """The shortest digits that name a floating-point number, in Java's form.
+
+    Before version 19 Java may print more of them (``5.903299999999999E20`` for 5.9033E20), so
+    long texts give way to the first rounding that reads as the same number.
+    """
+    text, name, most = column.cast("string"), *(("double", 16) if isinstance(kind, T.DoubleType) else ("float", 8))
+    rounded = [F.format_string(f"%.{n}e", column.cast("double") if name == "double" else text.cast("double")) for n in range(1, most)]
+    shorter = F.get(F.filter(F.array(*rounded), lambda r: r.cast(name) == column), F.lit(0))
+    digits = F.length(F.regexp_replace(F.regexp_replace(text, "E.*", ""), r"\D", ""))
+    return F.when((digits >= most) & shorter.isNotNull(), F.regexp_replace(shorter, r"e\+?(-?)0*(\d+)$", "E$1$2")).otherwise(text)
+
+
 def as_key(frame: DataFrame, name: str) -> Column:
     """A column as text; floating-point numbers lose a ``.0`` and are written without exponents.
 
@@ -22,6 +35,7 @@ def as_key(frame: DataFrame, name: str) -> Column:
     text = column.cast("string")
     if not isinstance(kind, (T.DoubleType, T.FloatType)):
         return text
+    text = _shortest(column, kind)
     size = F.abs(column)
     plain = F.when(size >= 1e18, text.try_cast("decimal(38,0)").cast("string")).when(size >= 1, text.try_cast("decimal(38,18)").cast("string")).otherwise(text.try_cast("decimal(38,37)").cast("string"))
     short = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
