@@ -12,6 +12,8 @@ from kinsplit.functions.schema import SAMPLE_RELATION, DepGraphError, check, nod
 from kinsplit.model import DependencyGraph, QueryResult
 from kinsplit.plans.components import connected_components
 from kinsplit.plans.numbering import numbered
+from kinsplit.plans.scratch import stored
+from kinsplit.plans.skew import dealt_join
 
 Ids = Sequence[str] | DataFrame | None
 
@@ -138,16 +140,28 @@ def project_sample_dependencies(graph: DependencyGraph, via: Sequence[str]) -> D
     return numbered(table, ["sample_node_id_1", "sample_node_id_2"], "k").select("sample_node_id_1", "sample_node_id_2", F.concat(F.lit("projection_"), F.col("k").cast("string")).alias("projection_edge_id"))
 
 
-def component_roots(graph: DependencyGraph, relations: Sequence[str]) -> DataFrame:
-    """sample_id, sample_node_id and the least sample node of the component, for every sample.
+def component_parts(graph: DependencyGraph, relations: Sequence[str]) -> DataFrame:
+    """sample_id, sample_node_id and ``part``, which is one name for all samples of a component.
 
-    Samples and their targets are one bipartite graph, so no pair of samples is made.
+    A sample links its least target with its others, so components of targets, which are
+    fewer than samples, give those of samples; no pair of samples is made. The table is
+    written once. A sample without a target is a part of its own.
     """
-    own = _sample_edges(graph, relations)
-    # A target's name is set apart from samples', and larger, so a component is named by a sample.
-    labels = connected_components(own.select(F.concat(F.lit("0"), "from").alias("a"), F.concat(F.lit("1"), "to").alias("b")))
-    named = labels.filter(F.col("vertex").startswith("0")).select(F.expr("substring(vertex, 2)").alias("sample_node_id"), F.expr("substring(component, 2)").alias("root"))
-    return sample_nodes(graph).join(named, "sample_node_id", "left").select("sample_id", "sample_node_id", F.coalesce("root", "sample_node_id").alias("root"))
+    edges = graph.edges.filter(F.col("edge_type").isin(list(relations))).select("from", "to")
+    # Rows are dealt by sample before they are grouped, as few fall together before that.
+    ends = edges.repartition("from").groupBy(F.col("from").alias("sample_node_id")).agg(F.min("to").alias("least"), F.max("to").alias("most"), F.count("to").alias("n"))
+    own = stored(sample_nodes(graph).join(ends, "sample_node_id", "left"))
+    links = own.filter("least < most").select(F.col("most").alias("a"), F.col("least").alias("b"))
+    many = own.filter("n > 2")
+    if not many.isEmpty():  # all others have no target between these two
+        links = links.unionByName(edges.join(many, F.col("from") == F.col("sample_node_id")).select(F.col("to").alias("a"), F.col("least").alias("b")))
+    labels = connected_components(links)
+    used = own.filter("least is not null").groupBy("least").agg(F.count("*").alias("_n"))
+    # Of all targets only those that are some sample's least, often few.
+    named = stored(used.join(labels.withColumnRenamed("vertex", "least"), "least", "left").select("least", "_n", F.concat(F.lit("1"), F.coalesce("component", "least")).alias("part")))
+    ids = own.select("sample_id", "sample_node_id", "least")
+    alone = ids.filter("least is null").select("sample_id", "sample_node_id", F.concat(F.lit("0"), "sample_node_id").alias("part"))
+    return stored(dealt_join(ids.filter("least is not null"), named, "least").select("sample_id", "sample_node_id", "part").unionByName(alone))
 
 
 def detect_dependency_components(graph: DependencyGraph, via: Sequence[str] = ("Subject", "Batch", "Study", "Timepoint", "Assay", "FeatureSet", "Outcome"), edge_types: Sequence[str] | None = None, min_size: int = 1) -> QueryResult:
@@ -156,10 +170,10 @@ def detect_dependency_components(graph: DependencyGraph, via: Sequence[str] = ("
     ``component_<k>`` counts components in the order of their first sample's node id.
     """
     relations = via_relations(via, edge_types)
-    roots = component_roots(graph, relations)
-    sizes = roots.groupBy("root").agg(F.count("*").cast("int").alias("component_size"))
-    names = numbered(sizes, ["root"], "k").select("root", "component_size", F.concat(F.lit("component_"), F.col("k").cast("string")).alias("component_id"))
-    table = roots.join(names, "root").filter(F.col("component_size") >= min_size).select("sample_id", "sample_node_id", "component_id", "component_size")
+    parts = component_parts(graph, relations)
+    sizes = parts.groupBy("part").agg(F.min("sample_node_id").alias("root"), F.count("*").alias("_n"))
+    names = numbered(sizes, ["root"], "k").select("part", "_n", F.col("_n").cast("int").alias("component_size"), F.concat(F.lit("component_"), F.col("k").cast("string")).alias("component_id"))
+    table = dealt_join(parts, names, "part").filter(F.col("component_size") >= min_size).select("sample_id", "sample_node_id", "component_id", "component_size")
     edges = provenance_edges(graph, relations)
     return _used(graph, "detect_dependency_components", {"via": list(via), "min_size": min_size}, table.select(F.col("sample_node_id").alias("node_id")), edges, table)
 
