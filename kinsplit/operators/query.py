@@ -13,7 +13,7 @@ from kinsplit.model import DependencyGraph, QueryResult
 from kinsplit.plans.components import connected_components
 from kinsplit.plans.numbering import numbered
 from kinsplit.plans.scratch import stored
-from kinsplit.plans.skew import dealt_join
+from kinsplit.plans.skew import dealt_join, heavy_keys
 
 Ids = Sequence[str] | DataFrame | None
 
@@ -161,7 +161,7 @@ def component_parts(graph: DependencyGraph, relations: Sequence[str]) -> DataFra
     named = stored(used.join(labels.withColumnRenamed("vertex", "least"), "least", "left").select("least", "_n", F.concat(F.lit("1"), F.coalesce("component", "least")).alias("part")))
     ids = own.select("sample_id", "sample_node_id", "least")
     alone = ids.filter("least is null").select("sample_id", "sample_node_id", F.concat(F.lit("0"), "sample_node_id").alias("part"))
-    return stored(dealt_join(ids.filter("least is not null"), named, "least").select("sample_id", "sample_node_id", "part").unionByName(alone))
+    return stored(dealt_join(ids.filter("least is not null"), named, "least", heavy_keys(named, "least")).select("sample_id", "sample_node_id", "part").unionByName(alone))
 
 
 def detect_dependency_components(graph: DependencyGraph, via: Sequence[str] = ("Subject", "Batch", "Study", "Timepoint", "Assay", "FeatureSet", "Outcome"), edge_types: Sequence[str] | None = None, min_size: int = 1) -> QueryResult:
@@ -172,8 +172,8 @@ def detect_dependency_components(graph: DependencyGraph, via: Sequence[str] = ("
     relations = via_relations(via, edge_types)
     parts = component_parts(graph, relations)
     sizes = parts.groupBy("part").agg(F.min("sample_node_id").alias("root"), F.count("*").alias("_n"))
-    names = numbered(sizes, ["root"], "k").select("part", "_n", F.col("_n").cast("int").alias("component_size"), F.concat(F.lit("component_"), F.col("k").cast("string")).alias("component_id"))
-    table = dealt_join(parts, names, "part").filter(F.col("component_size") >= min_size).select("sample_id", "sample_node_id", "component_id", "component_size")
+    names = numbered(sizes, ["root"], "k").select("part", F.col("_n").cast("int").alias("component_size"), F.concat(F.lit("component_"), F.col("k").cast("string")).alias("component_id"))
+    table = dealt_join(parts, names, "part", heavy_keys(names, "part", "component_size")).filter(F.col("component_size") >= min_size).select("sample_id", "sample_node_id", "component_id", "component_size")
     edges = provenance_edges(graph, relations)
     return _used(graph, "detect_dependency_components", {"via": list(via), "min_size": min_size}, table.select(F.col("sample_node_id").alias("node_id")), edges, table)
 

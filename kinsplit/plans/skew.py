@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 MOST_ROWS = 1_000_000
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, n: str = "_n") -> DataFrame:
-    """``left`` joined with ``right``, which has one row for each key and in ``n`` how many rows ``left`` has of it.
+def heavy_keys(counts: DataFrame, key: str, n: str = "_n") -> DataFrame:
+    """Of a table of keys and their numbers of rows, those of more than ``MOST_ROWS`` with the parts they are dealt over."""
+    return counts.filter(F.col(n) > MOST_ROWS).select(key, F.ceil(F.col(n) / MOST_ROWS).cast("int").alias("_parts"))
 
-    Keys of more than ``MOST_ROWS`` rows are dealt over parts, to each of which their row of
-    ``right`` goes. They are at most one in ``MOST_ROWS`` rows of ``left``, so they are broadcast.
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """The inner join of two tables by a key, of which heavy ones (see ``heavy_keys``) are frequent in ``left``.
+
+    These are dealt over parts, to each of which their rows of ``right`` go. They are at most
+    one in ``MOST_ROWS`` rows of ``left``, so they are broadcast.
     """
-    parts = F.ceil(F.col(n) / MOST_ROWS).cast("int")
-    heavy = right.filter(F.col(n) > MOST_ROWS).select(key, parts.alias("_parts"))
     part = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int"), F.lit(0))
     dealt = left.join(F.broadcast(heavy), key, "left").withColumn("_part", part).drop("_parts")
-    spread = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    spread = right.join(F.broadcast(heavy), key, "left").withColumn("_part", copies).drop("_parts")
     return dealt.join(spread, [key, "_part"]).drop("_part")
 
+
 #: Bytes of input for each part of a shuffle.
 PART_BYTES = 8 << 20
 

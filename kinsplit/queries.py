@@ -215,7 +215,7 @@ def dependency_components_dates(spark, d):
 
 def _segments(spark: SparkSession, d: str) -> DependencyGraph:
     meta = orders(spark, d).select("sample_id", "subject_id", F.col("segment").alias("outcome_id"))
-    return graph_from_metadata(meta, outcome_scope="subject", validate=False, numbers=False, checked=False)
+    return graph_from_metadata(meta, outcome_scope="subject", validate=False, numbers=False, checked=False).stored
 
 
 _PATHS = ORDERS + ", k AS (SELECT *, row_number() OVER (ORDER BY 'sample:' || s, 'outcome:' || seg) AS k FROM m) SELECT 'path_' || k AS path_id, CAST(1 AS INT) AS step, 'sample:' || s AS node_id, 'Sample' AS node_type, CAST(NULL AS VARCHAR) AS edge_type FROM k UNION ALL SELECT 'path_' || k, 2, 'subject:' || p, 'Subject', 'sample_belongs_to_subject' FROM k UNION ALL SELECT 'path_' || k, 3, 'outcome:' || seg, 'Outcome', 'subject_has_outcome' FROM k"
