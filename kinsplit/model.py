@@ -7,13 +7,25 @@ from datetime import datetime, timezone
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsplit.functions.schema import SCHEMA_VERSION
 from kinsplit.plans.scratch import stored
 
 
+def edge_name() -> Column:
+    """The id of an edge without a number."""
+    return F.concat("edge_type", F.lit(":"), "from", F.lit("->"), "to")
+
+
+def _without(frame: DataFrame, column: str, value: Column) -> DataFrame:
+    """``frame`` as stored without a column's values where they equal an expression over the others."""
+    same = F.equal_null(F.col(column), value)
+    lean = stored(frame.withColumns({"_same": same, column: F.when(~same, F.col(column))}))
+    return lean.withColumn(column, F.when(F.col("_same"), value).otherwise(F.col(column))).select(*frame.columns)
+
+
 def count_table(frame: DataFrame, column: str) -> DataFrame:
     """value and n, the most frequent first."""
     return frame.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
@@ -66,9 +78,10 @@ class DependencyGraph:
         """The same graph read from shared tables: it is computed once, whatever asks for it again.
 
         Each relation and node type comes from files of its own, so a filter by type reads
-        only these.
+        only these. Labels that are keys and edge ids that are made of the edge's columns
+        are not written but made again.
         """
-        graph = DependencyGraph(stored(self.nodes), stored(self.edges), self.metadata)
+        graph = DependencyGraph(_without(self.nodes, "label", F.col("node_key")), _without(self.edges, "edge_id", edge_name()), self.metadata)
         graph.__dict__["stored"] = graph
         return graph
 

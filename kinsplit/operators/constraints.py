@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from kinsplit.functions.columns import first_ids, listing
 from kinsplit.functions.schema import MODE_TYPE, MODES, SAMPLE_RELATION, DepGraphError, check
-from kinsplit.model import DependencyGraph, SplitConstraint
+from kinsplit.model import DependencyGraph, SplitConstraint, counts
 from kinsplit.operators.query import Ids, detect_dependency_components, sample_nodes
 from kinsplit.operators.time_order import MOST_TIMEPOINTS, TimeOrder, time_order
 from kinsplit.plans.scratch import stored
 
+#: Targets of a mode that are broadcast at most.
+FEW_TARGETS = 100_000
 _MAP = ("sample_id", "sample_node_id", "group_id", "constraint_type", "group_label", "explanation")
 
 
@@ -60,13 +62,19 @@ def direct_assignments(graph: DependencyGraph, modes: Sequence[str], samples: Id
     edges = graph.edges.filter(F.col("edge_type").isin([SAMPLE_RELATION[k] for k in kinds.values()]))
     if samples is not None:
         edges = edges.join(asked, F.col("from") == F.col("sample_node_id"), "left_semi")
-    targets = graph.nodes.filter(F.col("node_type").isin(list(kinds.values()))).select(F.col("node_id").alias("to"), "node_type", "node_key")
+    relation = F.create_map(*[F.lit(x) for k in kinds.values() for x in (k, SAMPLE_RELATION[k])])
+    targets = stored(graph.nodes.filter(F.col("node_type").isin(list(kinds.values()))).select(relation[F.col("node_type")].alias("edge_type"), F.col("node_id").alias("to"), F.col("node_key").alias("key")))
     facts = []
     for mode, kind in kinds.items():
         own = F.col("edge_type") == SAMPLE_RELATION[kind]
-        key = F.when(F.col("node_type") == kind, F.col("node_key")).alias("key")
-        facts += [F.count_if(own).alias(f"{mode}_n"), F.min(F.when(own, F.struct(F.coalesce("ord", F.lit(2**62)).alias("ord"), "to", key))).alias(f"{mode}_first")]
-    first = edges.join(targets, "to", "left").groupBy(F.col("from").alias("sample_node_id")).agg(*facts)
+        facts += [F.count_if(own).alias(f"{mode}_n"), F.min(F.when(own, F.struct(F.coalesce("ord", F.lit(2**62)).alias("ord"), "to", "key"))).alias(f"{mode}_first")]
+    # Few targets have many edges each, which would meet in one task, so they are broadcast.
+    sizes = counts(targets, "edge_type")
+    few = F.col("edge_type").isin([r for r in map(SAMPLE_RELATION.get, kinds.values()) if sizes.get(r, 0) <= FEW_TARGETS])
+    keyed = edges.filter(few).join(F.broadcast(targets.filter(few)), ["edge_type", "to"], "left")
+    if any(n > FEW_TARGETS for n in sizes.values()):
+        keyed = keyed.unionByName(edges.filter(~few).join(targets.filter(~few), ["edge_type", "to"], "left"))
+    first = keyed.select("from", "edge_type", "to", "key", "ord").repartition("from").groupBy(F.col("from").alias("sample_node_id")).agg(*facts)
     columns = [c for m in kinds for c in (F.col(f"{m}_first.to").alias(f"{m}_id"), F.col(f"{m}_first.key").alias(f"{m}_key"), f"{m}_n")]
     assigned = stored(asked.join(first, "sample_node_id", "left").select("sample_id", "sample_node_id", *columns))
     seen = assigned.agg(*[c for m in kinds for c in (F.count_if(F.col(f"{m}_n") > 1).alias(f"{m}_several"), F.count_if(F.col(f"{m}_key").isNull()).alias(f"{m}_missing"))]).first()

@@ -11,6 +11,7 @@ from kinsplit.functions.columns import as_key, first_ids, listing, pack, present
 from kinsplit.functions.schema import EDGE_TYPES, NODE_TYPES, DepGraphError, check, node_type
 from kinsplit.model import EdgeSet, NodeSet
 from kinsplit.plans.numbering import numbered
+from kinsplit.plans.skew import room_for
 
 ID_COLUMNS = tuple(t.key for t in NODE_TYPES.values())
 
@@ -83,6 +84,7 @@ def create_edges(
     """
     source, target, known = node_type(from_type), node_type(to_type), EDGE_TYPES.get(relation)
     check(known is None or (known.source, known.target) == (source.name, target.name), f"Relation {relation} joins {known and known.source} to {known and known.target}, not {source.name} to {target.name}")
+    room_for(data)
     attr_cols = list(attr_cols or [])
     order = list(order_by or [])
     for c in [from_col, to_col, *attr_cols, *order]:
