@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinsplit.functions.columns import attribute_text, first_ids, listing, present
 from kinsplit.functions.schema import DERIVATION_SCOPES, EDGE_TYPES, LEVELS, NODE_TYPES, OBSERVATION_LEVELS, SEVERITIES, SINGLE_TARGET, DepGraphError, check
-from kinsplit.model import DependencyGraph, Report, counts
+from kinsplit.model import DependencyGraph, Report, counts, edge_name
 from kinsplit.operators.constraints import deprecated
 from kinsplit.operators.time_order import consistency
 from kinsplit.plans.scratch import stored
@@ -105,6 +105,11 @@ class Facts:
     def relations(self) -> dict[str, int]:
         return counts(self.graph.edges, "edge_type")
 
+    @cached_property
+    def places(self) -> list[str]:
+        """The known relations that have edges. All others, few or many, share one place after them."""
+        return [r for r in EDGE_TYPES if r in self.relations]
+
     @cached_property
     def types(self) -> dict[str, int]:
         return counts(self.graph.nodes, "node_type")
@@ -112,10 +117,78 @@ class Facts:
     def has(self, relation: str) -> bool:
         return relation in self.relations
 
+    @cached_property
+    def odd(self) -> DataFrame:
+        """Of all ids of nodes and of edges' ends those that may break a rule: one grouping by id, without a join.
+
+        ``nodes`` rows have the id; ``have`` are their types and ``want`` those that edges ask of
+        it, as bits; ``lone`` are samples without a study where others have one; ``again`` are the bits of the relations of which it begins several edges.
+        Of a sound graph no row is left. Each rule looks again at what these ids belong to.
+        """
+        bit = {k: 1 << i for i, k in enumerate(NODE_TYPES)}
+        places, known = range(len(self.places) + 1), F.coalesce(F.col("edge_type").isin(self.places), F.lit(False))
+        own = [*[F.col("edge_type") == r for r in self.places], ~known]
+        bits = lambda column, values: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), column), F.lit(0))
+        zero, other = F.lit(0), 1 << len(bit)  # a type that is unknown
+        counted = lambda begins: [(F.when(c, 1).otherwise(0) if begins else F.lit(0)).cast("long").alias(f"_{i}") for i, c in enumerate(own)]
+        rows = [self.graph.nodes.select(F.col("node_id").alias("id"), F.lit(1).cast("long").alias("nodes"), F.when(F.col("node_type").isin(list(bit)), bits(F.col("node_type"), bit)).otherwise(other).alias("have"), zero.alias("want"), zero.alias("named"), *counted(False))]
+        for side, end in (("from", "source"), ("to", "target")):
+            wanted = bits(F.col("edge_type"), {e.name: bit[getattr(e, end)] for e in EDGE_TYPES.values()})
+            rows.append(self.graph.edges.select(F.col(side).alias("id"), F.lit(0).cast("long").alias("nodes"), zero.alias("have"), wanted.alias("want"), F.lit(1).alias("named"), *counted(side == "from")))
+        every = reduce(DataFrame.unionByName, rows).groupBy("id").agg(F.sum("nodes").alias("nodes"), F.bit_or("have").alias("have"), F.bit_or("want").alias("want"), F.max("named").alias("named"), *[F.sum(f"_{i}").alias(f"_{i}") for i in places])
+        again = reduce(Column.bitwiseOR, [F.when(F.col(f"_{i}") > 1, 1 << i).otherwise(0) for i in places])
+        lone = (F.col("have").bitwiseAND(F.lit(bit["Sample"])) != 0) & (F.col(f"_{self.places.index('sample_from_study')}") == 0) if self.has("sample_from_study") else F.lit(False)
+        wrong = (F.col("named") == 1) & (F.col("id").isNull() | (F.col("nodes") == 0) | (F.col("want").bitwiseAND(F.bitwise_not(F.col("have"))) != 0) | (F.bit_count("have") > 1))
+        return stored(every.select("id", "nodes", again.alias("again"), wrong.alias("wrong"), lone.alias("lone")).filter("nodes > 1 or wrong or lone or again <> 0"))
+
+    @cached_property
+    def _flags(self) -> Any:
+        """Whether ``odd`` has wrong ends and lone samples, and the bits of relations of which any id begins several edges."""
+        return self.odd.agg(F.coalesce(F.bool_or("wrong"), F.lit(False)).alias("wrong"), F.coalesce(F.bool_or("lone"), F.lit(False)).alias("lone"), F.coalesce(F.bit_or("again"), F.lit(0)).alias("again")).first()
+
+    def begins_again(self, *relations: str | None) -> bool:
+        """Whether any node begins several edges of one of these relations."""
+        return bool(self._flags.again & self._mask(relations))
+
+    def _mask(self, relations: Sequence[str | None]) -> int:
+        return sum({1 << (self.places.index(r) if r in self.places else len(self.places)) for r in relations})
+
+    def begun_again(self, relation: str | None = None) -> DataFrame:
+        """The edges, of one or of all relations, from nodes that begin several of their relation."""
+        edges = self.graph.edges if relation is None else self.graph.relation(relation)
+        relations = list(self.relations) if relation is None else [relation]
+        if not self.begins_again(*relations):
+            return edges.limit(0)
+        own = self.odd.filter(F.col("again").bitwiseAND(F.lit(self._mask(relations))) != 0).select(F.col("id").alias("from"))
+        return edges.join(own, "from", "left_semi").select(*edges.columns)
+
+    @cached_property
+    def same_ids(self) -> DataFrame:
+        """Edge ids (null among them) of several edges.
+
+        Ids made of their edge's columns agree where these do. Others are compared by their
+        hashes first, and then those of equal hashes as they are.
+        """
+        twice = lambda frame: frame.groupBy("edge_id").count().filter("count > 1").drop("count")
+        plain = F.equal_null(F.col("edge_id"), edge_name()) & ~F.contains("edge_type", F.lit(":")) & ~F.contains("from", F.lit("->"))
+        if self.graph.edges.filter(~F.coalesce(plain, F.lit(False)) | F.col("edge_id").isNull()).isEmpty():
+            return twice(self.begun_again())
+        hashed = self.graph.edges.select("edge_id", F.xxhash64("edge_id").alias("_h"))
+        likely = stored(hashed.groupBy("_h").count().filter("count > 1").select("_h"))
+        return twice(hashed.limit(0) if likely.isEmpty() else hashed.join(likely, "_h", "left_semi"))
+
     @cached_property
     def faulty(self) -> DataFrame:
         """Edges with a missing end or with ends of wrong types: s, t (wanted), fs, ft (found), no_from, no_to."""
         nodes, edges = self.graph.nodes, self.graph.edges
+        if not self._flags.wrong:
+            edges = edges.limit(0)
+        else:
+            at = lambda side: self.odd.filter("wrong").select(F.col("id").alias(side))
+            begins = edges.join(at("from"), "from", "left_semi").select(*edges.columns)
+            rest = edges.join(at("from"), "from", "left_anti").select(*edges.columns)
+            ends = rest.join(at("to"), "to", "left_semi").select(*edges.columns)
+            edges = begins.unionByName(ends).unionByName(rest.filter("`from` is null or `to` is null").join(at("to"), "to", "left_anti").select(*edges.columns))
         wanted = nodes.sparkSession.createDataFrame([(e.name, e.source, e.target) for e in EDGE_TYPES.values()], "edge_type string, s string, t string")
         kinds = nodes.groupBy("node_id").agg(F.min("node_type").alias("k"))  # an id listed twice is no second edge
         end = lambda side, kind: kinds.select(F.col("node_id").alias(side), F.struct("k").alias(kind))
@@ -124,16 +197,17 @@ class Facts:
         return stored(own.filter("no_from or no_to or fs <> s or ft <> t"))
 
 
-def structural(graph: DependencyGraph) -> list[Rule]:
-    nodes, edges, level, facts = graph.nodes, graph.edges, "structural", Facts(graph)
+def structural(graph: DependencyGraph, facts: Facts | None = None) -> list[Rule]:
+    nodes, edges, level, facts = graph.nodes, graph.edges, "structural", facts or Facts(graph)
     triplet = ["from", "to", "edge_type"]
-    again = lambda frame, *c: frame.groupBy(*c).count().filter("count > 1").drop("count")
+    triplets = lambda: facts.begun_again().groupBy(*triplet).count().filter("count > 1").drop("count")
+    twice = lambda: facts.odd.filter("nodes > 1").select(F.col("id").alias("node_id"))
     out = [
         _one(lambda: nodes.filter(_absent("node_id")), level, "error", "missing_node_id", "Node table contains missing or empty `node_id` values."),
-        _one(lambda: again(nodes, "node_id"), level, "error", "duplicate_node_id", "Node table contains duplicated `node_id` values: ", nodes="node_id", listed="node_id"),
+        _one(twice, level, "error", "duplicate_node_id", "Node table contains duplicated `node_id` values: ", nodes="node_id", listed="node_id"),
         _one(lambda: edges.filter(_absent("edge_id")), level, "error", "missing_edge_id", "Edge table contains missing or empty `edge_id` values."),
-        _one(lambda: again(edges, "edge_id"), level, "error", "duplicate_edge_id", "Edge table contains duplicated `edge_id` values: ", edges="edge_id", listed="edge_id"),
-        _one(lambda: edges.join(again(edges, *triplet), triplet, "left_semi"), level, "error", "duplicate_edge_triplet", "Edge table contains duplicate `(from, to, edge_type)` relations.", edges="edge_id", some=lambda: again(edges, *triplet).filter("`from` is not null and `to` is not null and edge_type is not null")),
+        _one(lambda: facts.same_ids, level, "error", "duplicate_edge_id", "Edge table contains duplicated `edge_id` values: ", edges="edge_id", listed="edge_id"),
+        _one(lambda: facts.begun_again().join(triplets(), triplet, "left_semi"), level, "error", "duplicate_edge_triplet", "Edge table contains duplicate `(from, to, edge_type)` relations.", edges="edge_id", some=lambda: triplets().filter("`from` is not null and `to` is not null and edge_type is not null")),
     ]
     for side, code, word in (("from", "missing_source_node", "source"), ("to", "missing_target_node", "target")):
         out.append(_one(lambda side=side: facts.faulty.filter(f"no_{side}"), level, "error", code, f"Edges reference missing {word} nodes: ", nodes=side, listed=side))
@@ -148,13 +222,13 @@ def structural(graph: DependencyGraph) -> list[Rule]:
 
 def _several(facts: Facts, relation: str, level: str, code: str, text: str, more: str | None = None) -> Rule:
     """The edges of a relation from sources with two or more distinct targets."""
-    own = facts.graph.relation(relation)
-    sources = lambda: own.groupBy("from").agg(F.min("to").alias("a"), F.max("to").alias("b")).filter("a <> b and `from` is not null").select("from")
-    return _one(lambda: own.join(sources(), "from", "left_semi"), level, "error", code, text, nodes="from", more=more, edges="edge_id", listed="from", details={"edge_type": relation}, some=sources)
+    own = lambda: facts.begun_again(relation)
+    sources = lambda: own().groupBy("from").agg(F.min("to").alias("a"), F.max("to").alias("b")).filter("a <> b and `from` is not null").select("from")
+    return _one(lambda: own().join(sources(), "from", "left_semi"), level, "error", code, text, nodes="from", more=more, edges="edge_id", listed="from", details={"edge_type": relation}, some=sources)
 
 
-def semantic(graph: DependencyGraph, overrides: Mapping[str, Any]) -> list[Rule]:
-    level, nodes, facts = "semantic", graph.nodes, Facts(graph)
+def semantic(graph: DependencyGraph, overrides: Mapping[str, Any], facts: Facts | None = None) -> list[Rule]:
+    level, nodes, facts = "semantic", graph.nodes, facts or Facts(graph)
     by_type = lambda names: F.try_element_at(F.create_map(*[x for t in NODE_TYPES.values() for x in (F.lit(t.name), F.array(*map(F.lit, names(t))).cast("array<string>"))]), F.col("node_type"))
     held = lambda: nodes.withColumn("keys", F.coalesce(F.json_object_keys(F.to_json("attrs")), _no_ids()))
     lacking = lambda: held().withColumn("bad", F.array_except(by_type(lambda t: t.required), "keys")).filter(F.size("bad") > 0)
@@ -168,6 +242,9 @@ def semantic(graph: DependencyGraph, overrides: Mapping[str, Any]) -> list[Rule]
     def lone() -> DataFrame:
         if not facts.has("sample_from_study") and graph.of_type("Study").isEmpty():
             return samples.limit(0)
+        if facts.has("sample_from_study"):
+            found = facts.odd.filter("lone").select(F.col("id").alias("node_id"))
+            return samples.join(found, "node_id", "left_semi") if facts._flags.lone else samples.limit(0)
         return samples.join(in_study.select(F.col("from").alias("node_id")), "node_id", "left_anti")
 
     out.append(_one(lone, level, "warning", "sample_missing_study_assignment", "Samples missing required relation `sample_from_study`: ", nodes="node_id", listed="node_id", details={"edge_type": "sample_from_study"}))
@@ -200,8 +277,8 @@ def _shared(edges: DataFrame) -> DataFrame:
     return edges.groupBy("to").agg(F.min("from").alias("a"), F.max("from").alias("b")).filter("a <> b").select("to")
 
 
-def leakage(graph: DependencyGraph) -> list[Rule]:
-    level = "leakage"
+def leakage(graph: DependencyGraph, facts: Facts | None = None) -> list[Rule]:
+    level, facts = "leakage", facts or Facts(graph)
 
     def found(targets: Callable[[], DataFrame], severity: str, code: str, kind: str, text: str, edges: Callable[[], DataFrame], parts: Sequence[int]) -> Rule:
         """An issue for each target; its samples and edges, as far as ``parts`` asks for them."""
@@ -214,7 +291,6 @@ def leakage(graph: DependencyGraph) -> list[Rule]:
         return Rule(severity, code, lambda: _issue(targets(), level, severity, code, F.concat(F.lit(f"{kind} `"), "to", F.lit(f"` {text}")), order=F.col("to")), members)
 
     subjects, studies, batches, sets = (graph.relation(r) for r in ("sample_belongs_to_subject", "sample_from_study", "sample_processed_in_batch", "sample_uses_featureset"))
-    facts = Facts(graph)
 
     def both() -> DataFrame:
         return subjects.select("from", "to").join(studies.select("from", F.col("to").alias("study")), "from").select("from", "to", "study")
@@ -228,6 +304,8 @@ def leakage(graph: DependencyGraph) -> list[Rule]:
         limit = max(3, math.ceil(facts.types.get("Sample", 0) * 0.5))
         # A node's samples are as many as its edges at most, so few nodes are left to count exactly.
         likely = batches.groupBy("to").count().filter(F.col("count") >= limit).select("to")
+        if facts.has("sample_processed_in_batch") and not facts.begins_again("sample_processed_in_batch"):
+            return likely  # each sample has one edge
         return batches.join(likely, "to", "left_semi").select("to", "from").distinct().groupBy("to").count().filter(F.col("count") >= limit).select("to")
 
     def none() -> DataFrame:
@@ -275,7 +353,8 @@ def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None,
             check(x in known, f"Unsupported validation level or severity: {x}")
     graph = graph.stored  # each rule reads it
     overrides = graph.metadata.get("validation_overrides", {}) | dict(validation_overrides or {})
-    makers = {"structural": lambda: structural(graph), "semantic": lambda: semantic(graph, overrides), "leakage": lambda: leakage(graph)}
+    facts = Facts(graph)
+    makers = {"structural": lambda: structural(graph, facts), "semantic": lambda: semantic(graph, overrides, facts), "leakage": lambda: leakage(graph, facts)}
     rules = [r for lv in LEVELS if lv in levels for r in makers[lv]()]
     spark = graph.nodes.sparkSession
     empty = _issue(spark.range(0), "", "", "", "").withColumn("_rule", F.lit(0))
@@ -302,8 +381,7 @@ def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None,
     for s in by:
         if by[s].texts > MESSAGES:
             texts[s].append(f"... and {by[s].texts - MESSAGES} more")
-    sizes = Facts(graph)
-    metrics = {"n_nodes": sum(sizes.types.values()), "n_samples": sizes.types.get("Sample", 0), "n_edges": sum(sizes.relations.values()), "n_issues": sum(r.rows for r in n)} | {f"n_{'advisories' if s == 'advisory' else s + 's'}": by[s].texts if s in by else 0 for s in SEVERITIES}
+    metrics = {"n_nodes": sum(facts.types.values()), "n_samples": facts.types.get("Sample", 0), "n_edges": sum(facts.relations.values()), "n_issues": sum(r.rows for r in n)} | {f"n_{'advisories' if s == 'advisory' else s + 's'}": by[s].texts if s in by else 0 for s in SEVERITIES}
     report = Report("error" not in by, table, metrics, {"levels": list(levels), "severities": list(severities), "validation_overrides": overrides}, texts["error"], texts["warning"], texts["advisory"], heads, members)
     if error_on_fail and not report.valid:
         raise DepGraphError("Dependency graph validation failed: " + "; ".join(report.errors[:20]))
