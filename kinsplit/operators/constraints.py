@@ -130,8 +130,8 @@ def _metadata(mode: str, relations: list[str], notes: list[str], **more: Any) ->
     return {"mode": mode, "relations_used": relations, "warnings": notes} | more
 
 
-def _direct(graph: DependencyGraph, mode: str, samples: Ids) -> SplitConstraint:
-    found = direct_assignments(graph, [mode], samples)
+def _direct(graph: DependencyGraph, mode: str, samples: Ids, found: Assignments | None = None) -> SplitConstraint:
+    found = found or direct_assignments(graph, [mode], samples)
     assigned, notes = found.table(mode), found.notes[mode]
     relations = [SAMPLE_RELATION[MODE_TYPE[mode]]]
     if mode != "time":
@@ -200,19 +200,34 @@ def _rule_based(graph: DependencyGraph, samples: Ids, via: Sequence[str], priori
     return SplitConstraint("rule_based", table, _args(time="order_rank" if some else None, ordered=all_), _metadata("composite", relations, notes, via=modes, priority=order))
 
 
-def derive_split_constraints(graph: DependencyGraph, mode: str = "subject", samples: Ids = None, strategy: str = "strict", via: Sequence[str] = MODES, priority: Sequence[str] | None = None, include_warnings: bool = True) -> SplitConstraint:
+def _times_stored(graph: DependencyGraph) -> DependencyGraph:
+    """The graph with its timepoints and their precedence, which are few and read several times, in shared tables.
+
+    Samples and their edges are read once, so they are not written.
+    """
+    if "stored" in graph.__dict__:
+        return graph.stored
+    parts = [(graph.nodes, F.equal_null("node_type", F.lit("Timepoint"))), (graph.edges, F.equal_null("edge_type", F.lit("timepoint_precedes")))]
+    return DependencyGraph(*[frame.filter(~few).unionByName(stored(frame.filter(few))) for frame, few in parts], graph.metadata)
+
+
+def derive_split_constraints(graph: DependencyGraph, mode: str = "subject", samples: Ids = None, strategy: str = "strict", via: Sequence[str] = MODES, priority: Sequence[str] | None = None, include_warnings: bool = True, assigned: Assignments | None = None) -> SplitConstraint:
     """The constraint of a mode (subject, batch, study, time or composite).
 
-    Modes that read the graph in several places compute it once (``graph.stored``).
+    Modes that read parts of the graph in several places compute these once; with a subset
+    of samples that is the whole graph (``graph.stored``). ``assigned`` are the direct
+    assignments of a mode, found in a graph of the same samples, targets and edges between them: graphs
+    that differ in what their timepoints tell need not find them again.
     """
     low = str(mode).lower()
-    if low in ("time", "timepoint") or (low == "composite" and strategy == "rule_based"):
-        graph = graph.stored
+    check(assigned is None or (low != "composite" and samples is None), "`assigned` is for a direct mode of all samples")
+    if assigned is None and (low in ("time", "timepoint") or (low == "composite" and strategy == "rule_based")):
+        graph = _times_stored(graph) if samples is None else graph.stored
     if str(mode).lower() == "composite":
         check(strategy in ("strict", "rule_based"), "strategy must be strict or rule_based")
         out = _strict(graph, samples, via) if strategy == "strict" else _rule_based(graph, samples, via, priority)
     else:
-        out = _direct(graph, normalize_mode(mode), samples)
+        out = _direct(graph, normalize_mode(mode), samples, assigned)
     return out if include_warnings else SplitConstraint(out.strategy, out.df, out.recommended_downstream_args, out.metadata | {"warnings": []})
 
 
