@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import cached_property
@@ -85,6 +86,20 @@ class DependencyGraph:
         graph.__dict__["stored"] = graph
         return graph
 
+    def partly_stored(self, types: Sequence[str], relations: Sequence[str] = ()) -> DependencyGraph:
+        """The same graph with the nodes of these types and the edges of these relations in shared tables.
+
+        It is for readers that ask for the others, as samples and their edges, about once.
+        """
+        if "stored" in self.__dict__:
+            return self.stored
+
+        def parted(frame: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+            own = F.coalesce(F.col(column).isin(list(names)), F.lit(False))
+            return frame.filter(~own).unionByName(stored(frame.filter(own))) if names else frame
+
+        return DependencyGraph(parted(self.nodes, "node_type", types), parted(self.edges, "edge_type", relations), self.metadata)
+
     def to_edge_list(self) -> DataFrame:
         return self.edges.select("from", "to", "edge_type", "edge_id")
 

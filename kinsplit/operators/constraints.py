@@ -200,17 +200,6 @@ def _rule_based(graph: DependencyGraph, samples: Ids, via: Sequence[str], priori
     return SplitConstraint("rule_based", table, _args(time="order_rank" if some else None, ordered=all_), _metadata("composite", relations, notes, via=modes, priority=order))
 
 
-def _times_stored(graph: DependencyGraph) -> DependencyGraph:
-    """The graph with its timepoints and their precedence, which are few and read several times, in shared tables.
-
-    Samples and their edges are read once, so they are not written.
-    """
-    if "stored" in graph.__dict__:
-        return graph.stored
-    parts = [(graph.nodes, F.equal_null("node_type", F.lit("Timepoint"))), (graph.edges, F.equal_null("edge_type", F.lit("timepoint_precedes")))]
-    return DependencyGraph(*[frame.filter(~few).unionByName(stored(frame.filter(few))) for frame, few in parts], graph.metadata)
-
-
 def derive_split_constraints(graph: DependencyGraph, mode: str = "subject", samples: Ids = None, strategy: str = "strict", via: Sequence[str] = MODES, priority: Sequence[str] | None = None, include_warnings: bool = True, assigned: Assignments | None = None) -> SplitConstraint:
     """The constraint of a mode (subject, batch, study, time or composite).
 
@@ -222,7 +211,8 @@ def derive_split_constraints(graph: DependencyGraph, mode: str = "subject", samp
     low = str(mode).lower()
     check(assigned is None or (low != "composite" and samples is None), "`assigned` is for a direct mode of all samples")
     if assigned is None and (low in ("time", "timepoint") or (low == "composite" and strategy == "rule_based")):
-        graph = _times_stored(graph) if samples is None else graph.stored
+        # Samples and their edges are read once.
+        graph = graph.partly_stored(["Timepoint"], ["timepoint_precedes"]) if samples is None else graph.stored
     if str(mode).lower() == "composite":
         check(strategy in ("strict", "rule_based"), "strategy must be strict or rule_based")
         out = _strict(graph, samples, via) if strategy == "strict" else _rule_based(graph, samples, via, priority)

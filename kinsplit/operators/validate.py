@@ -19,6 +19,8 @@ from kinsplit.operators.constraints import deprecated
 from kinsplit.operators.time_order import consistency
 from kinsplit.plans.scratch import stored
 
+#: Relations of whose targets the leakage layer asks how many samples they have.
+SHARED = ("sample_belongs_to_subject", "sample_processed_in_batch", "sample_uses_featureset")
 #: Parts of an issue's ids: nodes in order, nodes listed after them, edges.
 NODES, MORE, EDGES = 0, 1, 2
 
@@ -96,14 +98,49 @@ def _absent(name: str) -> Column:
 
 
 class Facts:
-    """What several rules ask of a graph, found once and only if asked."""
+    """What several rules ask of a graph, found once and only if asked.
 
-    def __init__(self, graph: DependencyGraph):
+    ``whole`` tells that all layers' rules read the graph, so that it lies in shared tables;
+    the leakage layer alone reads most edges once, for ``targets``.
+    """
+
+    def __init__(self, graph: DependencyGraph, whole: bool = True):
         self.graph = graph
+        self.whole = whole
 
     @cached_property
     def relations(self) -> dict[str, int]:
-        return counts(self.graph.edges, "edge_type")
+        if self.whole:
+            return counts(self.graph.edges, "edge_type")
+        return {r.edge_type: r.n for r in self.targets.groupBy("edge_type").agg(F.sum("n").alias("n")).collect()}
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        """edge_type and ``to`` of the targets of relations in ``SHARED``, their number ``n`` of edges, and the least and the most hash of a sample.
+
+        Of a graph that is not read as a whole, the other relations have a row each as well, without a target.
+        """
+        own = F.col("edge_type").isin(list(SHARED))
+        edges = self.graph.edges.filter(own) if self.whole else self.graph.edges.withColumn("to", F.when(own, F.col("to")))
+        sample = F.when(F.col("from").isNotNull(), F.xxhash64("from"))  # numbers need no sort, as text would
+        return stored(edges.groupBy("edge_type", "to").agg(F.count("*").alias("n"), F.min(sample).alias("lo"), F.max(sample).alias("hi")))
+
+    def shared(self, relation: str) -> DataFrame:
+        """Targets (column ``to``) of two samples or more."""
+        own = self.targets.filter(F.col("edge_type") == relation)
+        sure = own.filter("lo <> hi").select("to")
+        if relation not in self._unsure:
+            self._unsure[relation] = not own.filter("lo = hi and n > 1").isEmpty()
+        if not self._unsure[relation]:
+            return sure
+        # Several edges of one sample, or samples of one hash.
+        unsure = own.filter("lo = hi and n > 1").select(F.col("to").alias("_to"))
+        edges = self.graph.relation(relation).join(unsure, F.col("to").eqNullSafe(F.col("_to")), "left_semi")
+        return sure.unionByName(_shared(edges))
+
+    @cached_property
+    def _unsure(self) -> dict[str, bool]:
+        return {}
 
     @cached_property
     def places(self) -> list[str]:
@@ -303,8 +340,8 @@ def leakage(graph: DependencyGraph, facts: Facts | None = None) -> list[Rule]:
     def heavy() -> DataFrame:
         limit = max(3, math.ceil(facts.types.get("Sample", 0) * 0.5))
         # A node's samples are as many as its edges at most, so few nodes are left to count exactly.
-        likely = batches.groupBy("to").count().filter(F.col("count") >= limit).select("to")
-        if facts.has("sample_processed_in_batch") and not facts.begins_again("sample_processed_in_batch"):
+        likely = facts.targets.filter((F.col("edge_type") == "sample_processed_in_batch") & (F.col("n") >= limit)).select("to")
+        if not facts.has("sample_processed_in_batch") or (facts.whole and not facts.begins_again("sample_processed_in_batch")):
             return likely  # each sample has one edge
         return batches.join(likely, "to", "left_semi").select("to", "from").distinct().groupBy("to").count().filter(F.col("count") >= limit).select("to")
 
@@ -317,10 +354,10 @@ def leakage(graph: DependencyGraph, facts: Facts | None = None) -> list[Rule]:
 
     per_dataset = lambda: graph.of_type("FeatureSet").filter(attribute_text("derivation_scope") == "per_dataset").select(F.col("node_id").alias("to"))
     return [
-        found(lambda: _shared(subjects), "advisory", "repeated_subject_samples", "Subject", "is linked to multiple samples.", lambda: subjects, (MORE, EDGES)),
+        found(lambda: facts.shared("sample_belongs_to_subject"), "advisory", "repeated_subject_samples", "Subject", "is linked to multiple samples.", lambda: subjects, (MORE, EDGES)),
         found(crossing, "warning", "subject_cross_study_overlap", "Subject", "appears across multiple studies.", both, (MORE,)),
         _each(per_dataset, level, "advisory", "per_dataset_featureset", F.concat(F.lit("FeatureSet `"), "to", F.lit("` was derived at the full-dataset scope.")), F.array("to"), order=F.col("to")),
-        found(lambda: _shared(sets), "advisory", "shared_featureset_provenance", "FeatureSet", "is shared across multiple samples.", lambda: sets, (MORE, EDGES)),
+        found(lambda: facts.shared("sample_uses_featureset"), "advisory", "shared_featureset_provenance", "FeatureSet", "is shared across multiple samples.", lambda: sets, (MORE, EDGES)),
         _each(none, level, "warning", "missing_time_ordering", "Timepoint-linked samples exist but no explicit time ordering metadata were found."),
         found(heavy, "advisory", "heavy_batch_reuse", "Batch", "is reused across many samples.", lambda: batches, (EDGES,)),
     ]
@@ -351,9 +388,10 @@ def validate_graph(graph: DependencyGraph, checks: Sequence[str] | None = None,
     for given, known in ((levels, LEVELS), (severities, SEVERITIES)):
         for x in given:
             check(x in known, f"Unsupported validation level or severity: {x}")
-    graph = graph.stored  # each rule reads it
+    whole = any(lv != "leakage" for lv in levels)  # then each of many rules reads it
+    graph = graph.stored if whole else graph.partly_stored(["FeatureSet", "Timepoint"])
     overrides = graph.metadata.get("validation_overrides", {}) | dict(validation_overrides or {})
-    facts = Facts(graph)
+    facts = Facts(graph, whole)
     makers = {"structural": lambda: structural(graph, facts), "semantic": lambda: semantic(graph, overrides, facts), "leakage": lambda: leakage(graph, facts)}
     rules = [r for lv in LEVELS if lv in levels for r in makers[lv]()]
     spark = graph.nodes.sparkSession
